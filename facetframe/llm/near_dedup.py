@@ -17,8 +17,8 @@ WORD = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^24 = 0.9999.
 BANDS, ROWS = 24, 5
-#: Rounds with other centres before the pairs that are still open are compared one by one.
-STAR_ROUNDS = 3
+#: Texts on either side of a block of comparisons.
+BLOCK = 256
 GOLDEN = 0x9E3779B97F4A7C15
 MULTIPLIERS = np.array([(GOLDEN * (2 * i + 1)) % 2**64 | 1 for i in range(8)], dtype=np.uint64)
 
@@ -158,38 +158,75 @@ def components(links: DataFrame) -> DataFrame:
 def link_texts(distinct: DataFrame) -> DataFrame:
     """distinct: key, text (rows of a key have the same text). Returns (key, label) of the texts that are similar to another one.
 
-    In each band bucket every text is compared with one centre. While a bucket holds several components, other centres
-    are tried; then each pair of texts of different components that is still open in a bucket is compared. Pairs within
-    a component need no comparison, so a bucket of n near copies costs n of them, and no link between components is lost.
+    In each band bucket every text is compared with one centre. Where a bucket then holds several components, its texts
+    outside the main one are compared with all others of the bucket, in blocks. Pairs within a component need no
+    comparison, so a bucket of n near copies costs about n of them, and no link between components is lost.
     """
     bands = checkpointed(band_keys(distinct))
     shared = checkpointed(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
     texts = checkpointed(distinct.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    spark = distinct.sparkSession
-    links = tried = spark.createDataFrame([], "a binary, b binary")
-    labels = spark.createDataFrame([], "key binary, label binary")
-    open_ = shared.withColumn("label", F.col("key"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            rank = F.struct(F.xxhash64("key", F.lit(turn)).alias("r"), F.col("key").alias("c"), F.col("label").alias("l"))
-            centre = open_.groupBy("band").agg(F.min(rank).alias("m")).select("band", F.col("m.c").alias("c"), F.col("m.l").alias("l"))
-            pairs = open_.join(centre, "band").where("label <> l").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b"))
-        else:
-            main = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m")).select("band", F.col("m.label").alias("most"))
-            few = open_.join(main, "band").where("label <> most").select("band", F.col("key").alias("c"), F.col("label").alias("l"))
-            pairs = open_.join(few, "band").where("label <> l").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b"))
-        pairs = checkpointed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            found = _verified(pairs, texts)
-            tried = tried.unionByName(pairs)
-            links = links.unionByName(found)
-            labels = components(links)
-        labelled = shared.where("n > 2").join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        open_ = checkpointed(labelled.join(mixed, "band"))
-        if open_.isEmpty():
-            break
-    return labels
+    rank = F.struct(F.xxhash64("key", F.pmod("band", F.lit(3))).alias("r"), F.col("key").alias("c"))
+    centre = shared.groupBy("band").agg(F.min(rank)["c"].alias("c"))
+    pairs = shared.join(centre, "band").where("key <> c").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b")).distinct()
+    links = _verified(pairs, texts)
+    labels = components(links)
+    named = shared.where("n > 2").join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("few")).where("few > 0")
+    open_ = checkpointed(named.join(counts, "band"))
+    if open_.isEmpty():
+        return labels
+    more = checkpointed(_compare_open(open_, texts))
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def _shared_mass(da, ha, na, a: int, db, hb, nb, b: int, slab: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of two lists the share of each one's shingle weight that lies on shingles of the other, by products over slabs of shared shingles."""
+    shared = np.intersect1d(ha, hb)
+    total_a, total_b = np.maximum(np.bincount(da, na, minlength=a), 1), np.maximum(np.bincount(db, nb, minlength=b), 1)
+    of_a, of_b = np.zeros((a, b), np.float32), np.zeros((a, b), np.float32)
+    for lo in range(0, len(shared), slab):
+        some = shared[lo : lo + slab]
+
+        def spread(d, h, n, total, rows):
+            at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+            own = some[at] == h
+            weight, there = np.zeros((rows, len(some)), np.float32), np.zeros((rows, len(some)), np.float32)
+            weight[d[own], at[own]], there[d[own], at[own]] = n[own] / total[d[own]], 1
+            return weight, there
+
+        (wa, ia), (wb, ib) = spread(da, ha, na, total_a, a), spread(db, hb, nb, total_b, b)
+        of_a += wa @ ib.T
+        of_b += ia @ wb.T
+    return of_a + 1e-4, of_b + 1e-4
+
+
+def _compare_open(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of a bucket that have different labels: those outside the bucket's main label against all, in blocks of about BLOCK by BLOCK texts."""
+    size = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    part = lambda c: F.pmod(F.xxhash64("key"), size(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), size(c) - 1))
+    few = open_.where("label <> main").select("band", part("few").alias("i"), every("n").alias("j"), "key", "label", F.lit(True).alias("few"))
+    all_ = open_.select("band", every("few").alias("i"), part("n").alias("j"), "key", "label", F.lit(False).alias("few"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        left, right = block[block["few"]], block[~block["few"]]
+        if len(left) and len(right):
+            (da, ha, na), (db, hb, nb) = shingles(left["text"].tolist()), shingles(right["text"].tolist())
+            share_a, share_b = _shared_mass(da, ha, na, len(left), db, hb, nb, len(right))
+            # the probability Jaccard is at most the mass that either text has on shared shingles
+            maybe = (np.minimum(share_a, share_b) >= SIMILARITY) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
+            plain = (np.bincount(da, na > 1, minlength=len(left)) == 0)[:, None] & (np.bincount(db, nb > 1, minlength=len(right)) == 0)[None, :]
+            maybe &= ~plain | (1 / (1 / share_a + 1 / share_b - 1) >= SIMILARITY - 1e-3)  # without repeats it is the plain Jaccard
+            ea, eb = np.searchsorted(da, np.arange(len(left) + 1)), np.searchsorted(db, np.arange(len(right) + 1))
+            keys_a, keys_b, labels, met = left["key"].tolist(), right["key"].tolist(), right["label"].tolist(), set()
+            for r, c in zip(*(x.tolist() for x in np.nonzero(maybe))):
+                if (r, labels[c]) not in met and probability_jaccard((ha[ea[r] : ea[r + 1]], na[ea[r] : ea[r + 1]]), (hb[eb[c] : eb[c + 1]], nb[eb[c] : eb[c + 1]])) >= SIMILARITY:
+                    met.add((r, labels[c]))
+                    out.append((min(keys_a[r], keys_b[c]), max(keys_a[r], keys_b[c])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return few.unionByName(all_).join(texts, "key").groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
