@@ -183,7 +183,7 @@ def _scan(phrases_of, with_clean: bool):
                 for t in texts[lo:hi]:
                     ws = WORD.findall(t)
                     numbers.append(np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws)))
-                if len(seen) > 2_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 hits, at, items = _search(numbers, phrases)
                 for k, t in enumerate(texts[lo:hi]):

@@ -18,7 +18,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^24 = 0.9999.
 BANDS, ROWS = 24, 5
 #: Texts on either side of a block of comparisons.
-BLOCK = 256
+BLOCK = 128
 GOLDEN = 0x9E3779B97F4A7C15
 MULTIPLIERS = np.array([(GOLDEN * (2 * i + 1)) % 2**64 | 1 for i in range(8)], dtype=np.uint64)
 
@@ -31,7 +31,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -179,7 +179,7 @@ def link_texts(distinct: DataFrame) -> DataFrame:
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
-def _shared_mass(da, ha, na, a: int, db, hb, nb, b: int, slab: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def _shared_mass(da, ha, na, a: int, db, hb, nb, b: int, slab: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
     """For texts of two lists the share of each one's shingle weight that lies on shingles of the other, by products over slabs of shared shingles."""
     shared = np.intersect1d(ha, hb)
     total_a, total_b = np.maximum(np.bincount(da, na, minlength=a), 1), np.maximum(np.bincount(db, nb, minlength=b), 1)

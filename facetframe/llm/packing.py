@@ -16,7 +16,7 @@ from .common import checkpointed, gapless_rank, table
 CAPACITY = 2048
 END_ID = 1
 #: Chunks that a Python worker remembers the ids of.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 
 
 class ChunkTokenizer:
