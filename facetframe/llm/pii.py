@@ -164,7 +164,7 @@ def settle(entities: DataFrame) -> DataFrame:
     now = entities.withColumn("attempt", F.lit(0))
     for _ in range(ATTEMPTS):
         made = now.withColumn("stream", _stream(F.col("kind"), F.col("norm"), F.col("attempt")))
-        made = made.withColumn("sur", _norm(F.col("kind"), surrogate(F.col("kind"), F.col("mention"), F.col("stream"), F.col("attempt"))))
+        made = checkpointed(made.select("kind", "norm", _norm(F.col("kind"), surrogate(F.col("kind"), F.col("mention"), F.col("stream"), F.col("attempt"))).alias("sur")))
         first = made.groupBy("kind", "sur").agg(F.min("norm").alias("keeps"), F.count(F.lit(1)).alias("n"))
         same = made.join(first.where("n > 1"), ["kind", "sur"]).where("norm <> keeps").select("kind", "norm")
         real = made.join(known, ["kind", "sur"], "left_semi").select("kind", "norm")
@@ -184,7 +184,8 @@ def replace_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.col(text).cast("string")
     some = docs.select(F.explode(_found(mentions_of(body), None)).alias("x")).groupBy("x.kind", "x.norm").agg(F.min("x.mention").alias("mention"))
-    exceptions = checkpointed(settle(checkpointed(some)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each: not to be put together into one task
+    exceptions = checkpointed(settle(checkpointed(some.repartition(parts, "norm"))))
     if exceptions.isEmpty():
         ready, attempts = docs, None
     else:  # what needs another attempt is few; it meets the texts that mention it by a key of the text
