@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_key
+from .common import checkpointed, give_back, table, text_key
 
 WINDOW = 10
 #: As in lower-cased text, but found before lower-casing, so that places in the text stay what they are.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Text of the benchmark that one task holds at a time, and text that one index covers.
-BLOCK_BYTES, SHARD_CHARS = 32_000_000, 16_000_000
+BLOCK_BYTES, SHARD_CHARS = 32_000_000, 8_000_000
 #: Every so many-th place of the text is kept in the index.
 SAMPLED = 8
 
@@ -195,6 +195,8 @@ def _scan(phrases_of, with_clean: bool):
                         spans = [(places[a][0], places[b - 1][1]) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist())]
                     parts.append((len(own), n, sorted(map(str, items[k])), [{"start": a, "end": b} for a, b in spans], _without(t, spans) if with_clean and n else None))
             yield batch.drop(columns="text").assign(**dict(zip(("n_words", "n_hit", "item_ids", "spans", "clean"), map(list, zip(*parts)))) if parts else {x: [] for x in ("n_words", "n_hit", "item_ids", "spans", "clean")})
+        seen.clear()
+        give_back()
 
     return scan
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_key
+from .common import checkpointed, give_back, table, text_key
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY = 5, 0.8
@@ -118,6 +118,8 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 for b in range(BANDS):
                     out[:, b] = _mix((sig[some, b * ROWS : (b + 1) * ROWS] * MULTIPLIERS[:ROWS]).sum(axis=1, dtype=np.uint64) + np.uint64(b + 1) * MULTIPLIERS[6])
                 yield pd.DataFrame({"key": part["key"].iloc[some].to_numpy(), "bands": list(out.view(np.int64))})
+        _hashes.clear()
+        give_back()
 
     return docs.mapInPandas(keys, "key binary, bands array<long>").select("key", F.explode("bands").alias("band")).dropDuplicates(["band", "key"])
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, gapless_rank, table
+from .common import checkpointed, gapless_rank, give_back, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
 
     A null text counts as an empty one, whose only id is END_ID.
     """
-    block = 4_000_000
+    block = 2_000_000
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(tokenizer)
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
                 made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
                 made["doc_id"] = made["doc_id"].astype("Int64")
                 yield made
+        give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
