@@ -114,7 +114,8 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", rows: int
                 words = set(WORD.findall(fold(t)))
                 seen[int(y)].update(words | {w[:k] for w in words for k in PREFIXES if len(w) > k})
             keys = [*(seen[0].keys() | seen[1].keys())]
-            yield pd.DataFrame({"entry": keys, "t": [seen[1][k] for k in keys], "c": [seen[0][k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"entry": keys, "t": [seen[1][k] for k in keys], "c": [seen[0][k] for k in keys]})
 
     sizes = {r.toxic: r["count"] for r in some.groupBy("toxic").count().collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
@@ -153,7 +154,8 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", rows: int
                         own.add((e, m[1]))
                 seen[int(y)].update(own)
             keys = [*(seen[0].keys() | seen[1].keys())]
-            yield pd.DataFrame({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "t": [seen[1][k] for k in keys], "c": [seen[0][k] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "t": [seen[1][k] for k in keys], "c": [seen[0][k] for k in keys]})
 
     excused = some.mapInPandas(phrases, "a string, b string, t long, c long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"c >= {MIN_TEXTS} and c * {n_t} > 4 * t * {n_c}").orderBy(F.desc("c"), "a", "b").limit(MAX_EXCEPTIONS).collect()
     lexicon = Lexicon(entries, {(r.a, r.b) for r in excused})
