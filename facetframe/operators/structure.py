@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.vectors import matmul
 
@@ -69,7 +70,35 @@ def islands(triangles: DataFrame) -> DataFrame:
                     edge_of[e] = i
         return pd.DataFrame({"object_id": pdf["object_id"], "tid": tids, "island": [tids[root(i)] for i in range(len(tids))]})
 
-    return triangles.select("object_id", "tid", "v1", "v2", "v3").groupBy("object_id").applyInPandas(find, "object_id long, tid long, island long")
+    return triangles.select("object_id", "tid", "v1", "v2", "v3").groupBy("object_id").applyInPandas(find, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
+
+
+@F.pandas_udf(IntegerType())
+def _fans(links: pd.Series) -> pd.Series:
+    def parts(some) -> int:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for pair in some:
+            a, b = root(pair["a"]), root(pair["b"])
+            parent[max(a, b)] = min(a, b)
+        return len({root(x) for x in list(parent)})
+
+    return links.map(parts)
+
+
+def vertex_fans(triangles: DataFrame) -> DataFrame:
+    """(object_id, v, fans): groups of triangles at each vertex that are connected by edges at that vertex. Triangles with a repeated vertex are left out.
+
+    What is gathered for a vertex are the distinct edges opposite to it.
+    """
+    turns = F.array(*[F.struct(F.col(v).alias("v"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for v, a, b in (("v1", "v2", "v3"), ("v2", "v3", "v1"), ("v3", "v1", "v2"))])
+    at = sound_faces(triangles).select("object_id", F.explode(turns).alias("t")).select("object_id", "t.v", "t.a", "t.b")
+    return at.groupBy("object_id", "v").agg(F.collect_set(F.struct("a", "b")).alias("links")).select("object_id", "v", _fans("links").alias("fans"))
 
 
 def largest_island(triangles: DataFrame) -> DataFrame:

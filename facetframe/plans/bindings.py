@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import geometry as G
+from ..operators import repair as R
+from ..operators import rules
 from ..operators import structure as S
 
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -209,3 +211,36 @@ def placed_instances(spark, sf_dir):
     inst = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance_id"), (F.col("o_orderkey") % 10).alias("object_id"), m.alias("transform"))
     p = G.placed_measures(inst, G.measures(untied(spark, sf_dir), vertices(spark, sf_dir)))
     return p.select("instance_id", "object_id", "triangle_count", F.round("area", 2).alias("area"), F.round("volume", 1).alias("volume"), F.round("placed_min_x", 5).alias("placed_min_x"), F.round("placed_max_x", 5).alias("placed_max_x"))
+
+
+@query(f"""WITH RECURSIVE {TRI}, few AS (SELECT * FROM tri WHERE tid < 12 AND v1 <> v2 AND v2 <> v3 AND v1 <> v3), l AS (SELECT object_id, v1 AS v, v2 AS a, v3 AS b FROM few UNION SELECT object_id, v2, v3, v1 FROM few UNION SELECT object_id, v3, v1, v2 FROM few), u AS (SELECT * FROM l UNION SELECT object_id, v, b, a FROM l),
+r AS (SELECT object_id, v, a AS x, a AS y FROM u UNION SELECT r.object_id, r.v, r.x, u.b FROM r JOIN u ON u.object_id = r.object_id AND u.v = r.v AND u.a = r.y), c AS (SELECT object_id, v, x, min(y) AS least FROM r GROUP BY ALL)
+SELECT object_id, v, count(DISTINCT least)::INT AS fans FROM c GROUP BY 1, 2""")
+def vertex_fans(spark, sf_dir):
+    """Fans at the vertices of each object's first 12 triangles, as in mesh_islands."""
+    return S.vertex_fans(triangles(spark, sf_dir).where("tid < 12"))
+
+
+@query("""WITH o AS (SELECT s_nationkey AS path, s_suppkey AS object_id, s_suppkey % 37 AS pid FROM supplier), res AS (SELECT DISTINCT c_nationkey AS path, o_orderkey % 37 AS resource_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 37 < 30),
+i AS (SELECT c_nationkey AS path, c_custkey AS seq, c_custkey % 20 AS obj FROM customer)
+SELECT path::VARCHAR AS path, 2001 AS code, 'error' AS severity, object_id::BIGINT AS owner, pid::VARCHAR AS element FROM o WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.path = o.path AND resource_id = pid) AND NOT EXISTS (SELECT 1 FROM o b WHERE b.path = o.path AND b.object_id = o.pid)
+UNION ALL SELECT path::VARCHAR, 2010, 'error', object_id, '0' FROM o WHERE false
+UNION ALL SELECT path::VARCHAR, 3002, 'error', obj, seq::VARCHAR FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = i.path AND object_id = obj)
+UNION ALL SELECT i.path::VARCHAR, 3010, 'error', obj, seq::VARCHAR FROM i JOIN o ON o.path = i.path AND object_id = obj WHERE obj % 3 = 0""")
+def reference_rules(spark, sf_dir):
+    """Nations are packages, suppliers objects, order numbers modulo 37 of its customers resources, customers build items."""
+    path = lambda c: F.col(c).cast("string").alias("path")
+    objects = read(spark, sf_dir, "supplier").select(path("s_nationkey"), F.col("s_suppkey").cast("long").alias("object_id"), F.when(F.col("s_suppkey") % 3 == 0, "other").otherwise("model").alias("type"), F.lit("mesh").alias("kind"), (F.col("s_suppkey") % 37).cast("long").alias("pid"), F.lit(None).cast("long").alias("pindex"), F.lit(None).cast("long").alias("ref_id"))
+    resources = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(path("c_nationkey"), (F.col("o_orderkey") % 37).cast("long").alias("resource_id")).where("resource_id < 30").distinct().withColumn("resource", F.lit("colorgroup")).withColumn("matid", F.lit(None).cast("long"))
+    items = read(spark, sf_dir, "customer").select(path("c_nationkey"), F.col("c_custkey").cast("long").alias("seq"), (F.col("c_custkey") % 20).cast("long").alias("item_object_id"))
+    return rules.validate({"objects": objects, "resources": resources, "items": items}, codes=(2001, 2010, 3002, 3010))
+
+
+@query()
+def harmonized_faces(spark, sf_dir):
+    return R.harmonize(S.unique_faces(S.sound_faces(triangles(spark, sf_dir))))
+
+
+@query()
+def filled_holes(spark, sf_dir):
+    return R.fill_holes(S.unique_faces(S.sound_faces(triangles(spark, sf_dir))))

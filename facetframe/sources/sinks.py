@@ -1,9 +1,15 @@
-"""Sinks: STL text from triangle corners, built by Spark expressions."""
+"""Sinks: STL and OBJ text by Spark expressions, packages as one archive a group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import zipfile
+from xml.sax.saxutils import quoteattr
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.vectors import face_normal, point
 
@@ -14,3 +20,57 @@ def stl_text(corners: DataFrame) -> DataFrame:
     vertex = "      vertex %.6f %.6f %.6f\n"
     text = F.format_string("  facet normal %.6e %.6e %.6e\n    outer loop\n" + vertex * 3 + "    endloop\n  endfacet", *n, *point("a"), *point("b"), *point("c"))
     return corners.select("object_id", "tid", text.alias("value"))
+
+
+def obj_text(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Rows (object_id, part, seq, value) of one OBJ file: write them sorted by part, object and seq. Vertex numbers run on over all objects."""
+    size = vertices.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+    shift = size.select("object_id", F.coalesce(F.sum("n").over(Window.orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    v = vertices.select("object_id", F.lit(0).alias("part"), F.col("vid").alias("seq"), F.format_string("v %.6f %.6f %.6f", *[F.col(a).cast("double") for a in "xyz"]).alias("value"))
+    at = lambda c: (F.col(c) + F.col("shift") + 1).cast("long")
+    f = triangles.join(shift, "object_id").select("object_id", F.lit(1).alias("part"), F.col("tid").alias("seq"), F.format_string("f %d %d %d", at("v1"), at("v2"), at("v3")).alias("value"))
+    g = size.select("object_id", F.lit(1).alias("part"), F.lit(-1).cast("long").alias("seq"), F.concat(F.lit("g object"), "object_id").alias("value"))
+    return v.unionByName(g).unionByName(f)
+
+
+#: Fixed values of the package format.
+CORE = "http://schemas.microsoft.com/3dmanufacturing/core/2015/02"
+MODEL_TYPE = "http://schemas.microsoft.com/3dmanufacturing/2013/01/3dmodel"
+TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="model" ContentType="application/vnd.ms-package.3dmanufacturing-3dmodel+xml"/></Types>'
+RELS = f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rel0" Type="{MODEL_TYPE}" Target="/3D/3dmodel.model"/></Relationships>'
+
+
+def packages(objects: DataFrame, vertices: DataFrame, triangles: DataFrame, components: DataFrame, items: DataFrame, unit: str = "millimeter") -> DataFrame:
+    """(path, content): an archive for each path. Tables as `sources.files.tables` gives them; rows become elements in Spark, a task only strings them together."""
+    attribute = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    row = lambda df, part, owner, seq, value: df.select("path", F.col(owner).cast("long").alias("owner"), F.lit(part).alias("part"), F.col(seq).cast("long").alias("seq"), value.alias("value"))
+    name = F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), _quoted("name"))).otherwise(F.lit(""))
+    rows = (
+        row(objects, 0, "object_id", "object_id", F.concat(F.lit("<object"), attribute("id", "object_id"), attribute("type", "type"), attribute("pid", "pid"), attribute("pindex", "pindex"), name, F.lit(">")))
+        .unionByName(row(vertices, 1, "object_id", "vid", F.concat(F.lit("<vertex"), *[attribute(a, a) for a in "xyz"], F.lit("/>"))))
+        .unionByName(row(triangles, 2, "object_id", "tid", F.concat(F.lit("<triangle"), *[attribute(a, a) for a in ("v1", "v2", "v3", "pid")], F.lit("/>"))))
+        .unionByName(row(components, 3, "object_id", "seq", F.concat(F.lit("<component"), attribute("objectid", "child_object_id"), attribute("transform", "transform"), F.lit("/>"))))
+        .unionByName(row(items.withColumn("_last", F.lit(2**62)), 4, "_last", "seq", F.concat(F.lit("<item"), attribute("objectid", "item_object_id"), attribute("transform", "transform"), F.lit("/>"))))
+    )
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["owner", "part", "seq"], kind="stable")
+        wrap, out, tail = {1: "vertices", 2: "triangles", 3: "components"}, [f'<?xml version="1.0" encoding="UTF-8"?><model unit="{unit}" xmlns="{CORE}"><resources>'], []
+        for _, some in pdf[pdf["part"] < 4].groupby("owner", sort=True):
+            by = {p: "".join(g) for p, g in some.groupby("part")["value"]}
+            tag = {p: f"<{wrap[p]}>{by[p]}</{wrap[p]}>" for p in by if p}
+            mesh = tag.get(1, "") + tag.get(2, "")
+            out.append(by.get(0, "<object>") + (f"<mesh>{mesh}</mesh>" if mesh else "") + tag.get(3, "") + "</object>")
+        tail = pdf[pdf["part"] == 4]["value"]
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+            for part, text in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELS), ("3D/3dmodel.model", "".join([*out, "</resources><build>", *tail, "</build></model>"]))):
+                z.writestr(zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [content.getvalue()]})
+
+    return rows.groupBy("path").applyInPandas(build, "path string, content binary")
+
+
+@F.pandas_udf(StringType())
+def _quoted(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else quoteattr(t))

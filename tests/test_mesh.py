@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from facetframe.functions import vectors as V
 from facetframe.operators import geometry as G
+from facetframe.operators import repair as R
+from facetframe.operators import rules
 from facetframe.operators import structure as S
 from facetframe.plans import bindings
 from facetframe.sources import files, sinks
@@ -23,7 +25,7 @@ def mesh(spark, v, t):
     return tri, spark.createDataFrame([(1, i, *x) for i, x in enumerate(v)], "object_id long, vid long, x double, y double, z double")
 
 
-@pytest.mark.parametrize("name", sorted(bindings.QUERIES))
+@pytest.mark.parametrize("name", sorted(bindings.SQL))
 def test_binding_equals_sql(spark, name):
     c = duckdb.connect()
     for f in os.listdir(SF):
@@ -105,3 +107,73 @@ def test_sources_and_stream(spark, tmp_path):
 def test_stl_text(spark):
     t, v = mesh(spark, CUBE_V, CUBE_T[:1])
     assert "facet normal 0.000000e+00 0.000000e+00 -1.000000e+00" in sinks.stl_text(G.corners(t, v)).first().value
+
+
+def test_packages_and_obj_round_trip(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_inputs(tmp_path / "in")
+    t = files.tables(files.read_files(spark, str(tmp_path / "in")).cache())
+    made = sinks.packages(*[t[n] for n in ("objects", "vertices", "triangles", "components", "items")])
+    again = files.tables(files.parse_files(made).cache())
+    for name in ("objects", "vertices", "triangles", "components", "items"):
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(again[name]) == rows(t[name])
+    assert again["errors"].where("message <> ''").count() == 0 or {r.message for r in again["errors"].collect()} <= {"no build element"}
+    tri, v = mesh(spark, CUBE_V, CUBE_T)
+    both = lambda df: df.unionByName(df.withColumn("object_id", F.lit(2).cast("long")))
+    lines = [r.value for r in sinks.obj_text(both(v), both(tri)).orderBy("part", "object_id", "seq").collect()]
+    back = list(files.obj_rows("\n".join(lines).encode()))
+    assert [sum(r[0] == k for r in back) for k in ("object", "vertex", "triangle")] == [2, 16, 24]
+
+
+def test_harmonize_and_fill(spark):
+    flipped = [(a, c, b) if i in (3, 7) else (a, b, c) for i, (a, b, c) in enumerate(CUBE_T)]
+    out = R.harmonize(mesh(spark, CUBE_V, flipped)[0]).orderBy("tid").collect()
+    assert [r.tid for r in out if r.flipped] == [3, 7] and [(r.v1, r.v2, r.v3) for r in out] == CUBE_T
+    t, v = mesh(spark, CUBE_V, CUBE_T[:-2])
+    full = R.fill_holes(t)
+    assert full.where("added").count() == 2 and G.findings(full, v).count() == 0 and round(G.measures(full, v).first().volume, 9) == 1.0
+    assert R.fill_holes(mesh(spark, CUBE_V, CUBE_T)[0]).where("added").count() == 0
+
+
+def test_fans(spark):
+    t, _ = mesh(spark, [(0.0, 0.0, 0.0)] * 5, [(0, 1, 2), (0, 3, 4), (1, 1, 0)])
+    assert {r.v: r.fans for r in S.vertex_fans(t).collect()} == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_rules(spark):
+    make = lambda rows, schema: spark.createDataFrame([("p", *r) for r in rows], "path string, " + schema)
+    inf = float("inf")
+    model = {
+        "objects": make([(1, "model", "mesh", 99, None, None), (2, "other", "components", None, 4, None), (3, "model", "slicestack", None, None, 50), (4, "model", "boolean", 10, None, None), (5, "model", "boolean", None, None, None), (6, "model", "displacement", None, None, None), (7, "model", "boolean", None, None, None)], "object_id long, type string, kind string, pid long, pindex long, ref_id long"),
+        "vertices": make([(1, i, float(i % 2), float(i // 2), 0.0) for i in range(4)] + [(6, 0, 0.0, 0.0, 0.0)], "object_id long, vid long, x double, y double, z double"),
+        "triangles": make([(1, 0, 0, 1, 2, None, None), (1, 1, 1, 2, 9, 98, None), (1, 2, 3, 3, 1, None, None), (6, 0, 0, 0, 4, None, 77)], "object_id long, tid long, v1 long, v2 long, v3 long, pid long, d1 long").withColumn("d2", F.lit(None).cast("long")).withColumn("d3", F.lit(None).cast("long")),
+        "components": make([(2, 0, 1, None), (2, 1, 70, None), (2, 2, 71, "/3D/other.model")], "object_id long, seq long, child_object_id long, part string"),
+        "items": make([(0, 1), (1, 2), (2, 80)], "seq long, item_object_id long"),
+        "resources": make([(10, "basematerials", None), (11, "compositematerials", 10), (12, "compositematerials", 14), (13, "compositematerials", 97), (14, "multiproperties", None), (15, "multiproperties", None)], "resource_id long, resource string, matid long"),
+        "layers": make([(14, 0, 10), (14, 1, 10), (14, 2, 11), (14, 3, 15)], "resource_id long, seq long, pid long"),
+        "metadata": make([("",), ("a",), ("a",)], "name string"),
+        "booleans": make([(4, 5, [1.0] * 16), (5, 4, [inf] * 16), (7, 2, None)], "object_id long, base_id long, transform array<double>"),
+        "operands": make([(7, 0, 4, [1.0]), (7, 1, 96, [float("nan")])], "object_id long, seq long, operand_id long, transform array<double>"),
+        "displacements": make([(20, "", inf, 0.0), (21, "x.png", 1.0, 0.0)], "resource_id long, image string, height double, offset double"),
+        "attachments": make([("y.png",)], "name string"),
+        "normals": make([(6, 0, 2.0, 0.0, 0.0), (6, 1, inf, 0.0, 0.0)], "object_id long, seq long, x double, y double, z double"),
+        "gradients": make([(6, 0, 1.0, 0.0, 0.0), (6, 1, inf, 0.0, 0.0)], "object_id long, seq long, x double, y double, z double"),
+    }
+    found = {}
+    for r in rules.validate({k: v for k, v in model.items()}, codes=tuple(c for c in range(2000, 6000) if not 4002 <= c <= 4100)).collect():
+        found.setdefault(r.code, set()).add((r.owner, r.element))
+    assert found == {
+        2001: {(1, "99")}, 2002: {(1, "1")}, 2003: {(2, "70")}, 2004: {(3, "50")}, 2010: {(2, "4")}, 2020: {(14, "2")}, 2024: {(14, "15")}, 2025: {(14, None)},
+        2030: {(12, "other resource"), (13, "no resource")}, 2040: {(None, "")}, 2041: {(None, "a")}, 2100: {(4, None), (5, None)}, 2101: {(7, "2")}, 2103: {(7, "4")}, 2104: {(7, "96")}, 2105: {(7, "1")}, 2106: {(5, "4")},
+        3001: {(1, "1")}, 3002: {(80, "2")}, 3010: {(2, "1")}, 4001: {(1, "2"), (6, "0")}, 5001: {(20, "")}, 5002: {(21, "x.png")}, 5003: {(20, "Infinity")}, 5012: {(6, "2")}, 5013: {(6, "0")}, 5014: {(6, "0")}, 5015: {(6, "2")}, 5020: {(6, "1")}, 5021: {(6, "0")}, 5022: {(6, "1")}, 5023: {(6, "0")},
+    }
+    assert {r.code for r in rules.validate(model, "minimal").collect()} == {5012, 5013}
+
+
+def test_rules_of_geometry_by_package(spark):
+    t, v = mesh(spark, CUBE_V + [(9.0, 9.0, 9.0), (9.0, 9.0, 8.0)], [*CUBE_T, (0, 8, 9)])
+    objects = spark.createDataFrame([(1, "support", "mesh")], "object_id long, type string, kind string")
+    add = lambda df: df.withColumn("path", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    got = rules.validate({"triangles": add(t), "vertices": add(v), "objects": add(objects)}, codes=(4002, 4003, 4004, 4005, 4006, 4007, 4100)).groupBy("path", "code").count().collect()
+    assert {(r.path, r.code): r["count"] for r in got} == {(p, c): n for p in "ab" for c, n in ((4002, 3), (4006, 1), (4007, 1))}
