@@ -35,6 +35,18 @@ def give_back() -> None:
         pass
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands at most 2000 rows and about 4 MB at a time to Python; a setting of the user's own stays.
+
+    Texts may be long: without this, 10,000 of them are held in a task's JVM and again in its Python worker.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
+        if conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; null stays null."""
     return F.unhex(F.md5(text.cast("binary")))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, table, text_key
+from .common import checkpointed, give_back, small_batches, table, text_key
 
 WINDOW = 10
 #: As in lower-cased text, but found before lower-casing, so that places in the text stay what they are.
@@ -230,11 +230,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         return lambda: Phrases(sent.value)
 
     if blocks == 1:
-        return rows.mapInPandas(_scan(phrases_of(0), with_clean), f"{head}, {KIND}")
+        return small_batches(rows).mapInPandas(_scan(phrases_of(0), with_clean), f"{head}, {KIND}")
     distinct = checkpointed(rows.select(text_key(F.col("text")).alias("key"), "text").where("text is not null").dropDuplicates(["key"]))
     found = None
     for b in range(blocks):
-        part = distinct.mapInPandas(_scan(phrases_of(b), False), f"key binary, {KIND}").where("n_hit > 0").select("key", "item_ids", "spans")
+        part = small_batches(distinct).mapInPandas(_scan(phrases_of(b), False), f"key binary, {KIND}").where("n_hit > 0").select("key", "item_ids", "spans")
         found = checkpointed(part if found is None else found.unionByName(part))
     merged = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("all_items"), F.flatten(F.collect_list("spans")).alias("all_spans"))
 
@@ -254,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             yield batch.drop(columns=["text", "all_items", "all_spans"]).assign(**made)
 
     joined = rows.withColumn("key", text_key(F.col("text"))).join(merged, "key", "left").drop("key")
-    return joined.mapInPandas(finish, f"{head}, {KIND}")
+    return small_batches(joined).mapInPandas(finish, f"{head}, {KIND}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

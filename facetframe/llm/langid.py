@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table
+from .common import bounded_sample, held_out, small_batches, table
 
 SIZES = (3, 4)
 PROBES = 2
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
         f = sent.value
         return pd.DataFrame([f.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", F.pandas_udf(judge, "lang_pred string, score double")(F.col(text).cast("string")))
+    return small_batches(docs).withColumn("language", F.pandas_udf(judge, "lang_pred string, score double")(F.col(text).cast("string")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

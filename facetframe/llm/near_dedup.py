@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, table, text_key
+from .common import checkpointed, give_back, small_batches, table, text_key
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY = 5, 0.8
@@ -121,7 +121,7 @@ def band_keys(docs: DataFrame) -> DataFrame:
         _hashes.clear()
         give_back()
 
-    return docs.mapInPandas(keys, "key binary, bands array<long>").select("key", F.explode("bands").alias("band")).dropDuplicates(["band", "key"])
+    return small_batches(docs).mapInPandas(keys, "key binary, bands array<long>").select("key", F.explode("bands").alias("band")).dropDuplicates(["band", "key"])
 
 
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -140,7 +140,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts are similar."""
     full = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return checkpointed(full.where(F.pandas_udf(_similarity, "double")("text_a", "text_b") >= SIMILARITY).select("a", "b"))
+    return checkpointed(small_batches(full).where(F.pandas_udf(_similarity, "double")("text_a", "text_b") >= SIMILARITY).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, gapless_rank, give_back, table
+from .common import checkpointed, gapless_rank, give_back, small_batches, table
 
 CAPACITY = 2048
 END_ID = 1
 #: Chunks that a Python worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class ChunkTokenizer:
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
 
     A null text counts as an empty one, whose only id is END_ID.
     """
-    block = 2_000_000
+    block = 1_000_000
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(tokenizer)
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
         give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return small_batches(rows).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table
+from .common import bounded_sample, held_out, small_batches, table
 
 #: Bound of the labelled rows that the field is fitted on, and of the lines of each that it sees in training.
 TRAIN_ROWS, TRAIN_LINES = 4000, 200
@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, field: Field, text: str = "text") -> DataFram
     empty table gives an empty result. An input column `quality_score` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)  # a few dozen weights
-    return docs.withColumn("quality_score", F.pandas_udf(lambda texts: pd.Series([sent.value.quality(t) for t in texts], dtype=float), "double")(F.col(text).cast("string")))
+    return small_batches(docs).withColumn("quality_score", F.pandas_udf(lambda texts: pd.Series([sent.value.quality(t) for t in texts], dtype=float), "double")(F.col(text).cast("string")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

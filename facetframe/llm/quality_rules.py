@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, give_back, small_batches, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS, DIGITS = "#*$%&|<>", "0123456789"
@@ -138,9 +138,10 @@ def quality_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
                     break
             facts = (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, any(r.rejects(f) for r in base)) if with_facts else (None,) * 6
             out.append((why, ran, *facts))
+        give_back()
         return pd.DataFrame(out, columns=["rejected_by", "n_rules_run", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
 
-    return docs.withColumn("rule_facts", judge(F.col(text).cast("string")))
+    return small_batches(docs).withColumn("rule_facts", judge(F.col(text).cast("string")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table
+from .common import bounded_sample, held_out, small_batches, table
 
 #: Bounds: labelled rows that the lexicon is learned from, entries it has, phrases that are exceptions.
 TRAIN_ROWS, MAX_ENTRIES, MAX_EXCEPTIONS = 8000, 2000, 2000
@@ -178,7 +178,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
     empty result. An input column `toxicity` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES and MAX_EXCEPTIONS
-    return docs.withColumn("toxicity", F.pandas_udf(lambda texts: pd.Series([sent.value.score(t) for t in texts], dtype=float), "double")(F.col(text).cast("string")))
+    return small_batches(docs).withColumn("toxicity", F.pandas_udf(lambda texts: pd.Series([sent.value.score(t) for t in texts], dtype=float), "double")(F.col(text).cast("string")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
