@@ -113,10 +113,15 @@ def component_tree(spark, sf_dir):
 r AS (SELECT object_id, tid, tid AS island FROM few UNION SELECT r.object_id, f.tid, r.island FROM r JOIN e ON e.object_id = r.object_id AND e.tid = r.tid JOIN e f ON f.object_id = e.object_id AND f.lo = e.lo AND f.hi = e.hi)
 SELECT object_id, tid, min(island) AS island FROM r GROUP BY 1, 2""")
 def mesh_islands(spark, sf_dir):
-    """Meshes of each object's first 12 triangles; the whole ones are a single island each."""
+    """Islands among each object's first 12 triangles only, as its recursive SQL has them; mesh_islands_whole covers all triangles."""
     return S.islands(triangles(spark, sf_dir).where("tid < 12"))
 
 
+@query()
+def mesh_islands_whole(spark, sf_dir):
+    return S.islands(triangles(spark, sf_dir))
+
+
 BOX = "box AS (SELECT s_nationkey AS id, min(s_acctbal) AS x0, max(s_acctbal) AS x1, min(s_suppkey) AS y0, max(s_suppkey) AS y1, min(s_suppkey % 7) AS z0, max(s_suppkey % 7) AS z1 FROM supplier GROUP BY 1)"
 
 
@@ -217,10 +222,15 @@ def placed_instances(spark, sf_dir):
 r AS (SELECT object_id, v, a AS x, a AS y FROM u UNION SELECT r.object_id, r.v, r.x, u.b FROM r JOIN u ON u.object_id = r.object_id AND u.v = r.v AND u.a = r.y), c AS (SELECT object_id, v, x, min(y) AS least FROM r GROUP BY ALL)
 SELECT object_id, v, count(DISTINCT least)::INT AS fans FROM c GROUP BY 1, 2""")
 def vertex_fans(spark, sf_dir):
-    """Fans at the vertices of each object's first 12 triangles, as in mesh_islands."""
+    """Fans at the vertices of each object's first 12 triangles only, as its recursive SQL has them; vertex_fans_whole covers all triangles."""
     return S.vertex_fans(triangles(spark, sf_dir).where("tid < 12"))
 
 
+@query()
+def vertex_fans_whole(spark, sf_dir):
+    return S.vertex_fans(untied(spark, sf_dir))
+
+
 @query("""WITH o AS (SELECT s_nationkey AS path, s_suppkey AS object_id, s_suppkey % 37 AS pid FROM supplier), res AS (SELECT DISTINCT c_nationkey AS path, o_orderkey % 37 AS resource_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 37 < 30),
 i AS (SELECT c_nationkey AS path, c_custkey AS seq, c_custkey % 20 AS obj FROM customer)
 SELECT path::VARCHAR AS path, 2001 AS code, 'error' AS severity, object_id::BIGINT AS owner, pid::VARCHAR AS element FROM o WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.path = o.path AND resource_id = pid) AND NOT EXISTS (SELECT 1 FROM o b WHERE b.path = o.path AND b.object_id = o.pid)

@@ -177,3 +177,36 @@ def test_rules_of_geometry_by_package(spark):
     add = lambda df: df.withColumn("path", F.explode(F.array(F.lit("a"), F.lit("b"))))
     got = rules.validate({"triangles": add(t), "vertices": add(v), "objects": add(objects)}, codes=(4002, 4003, 4004, 4005, 4006, 4007, 4100)).groupBy("path", "code").count().collect()
     assert {(r.path, r.code): r["count"] for r in got} == {(p, c): n for p in "ab" for c, n in ((4002, 3), (4006, 1), (4007, 1))}
+
+
+def parts(links):
+    """The least member of each item's connected part."""
+    at = {}
+
+    def root(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        at[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(at)}
+
+
+def test_whole_meshes_by_brute_force(spark):
+    islands, fans = {}, {}
+    objects = {}
+    for r in bindings.triangles(spark, SF).collect():
+        objects.setdefault(r.object_id, []).append((r.tid, r.v1, r.v2, r.v3))
+    for o, faces in objects.items():
+        at, around = {}, {}
+        links = [(t, at.setdefault(frozenset(e), t)) for t, *v in faces for e in zip(v, v[1:] + v[:1])]
+        islands |= {(o, t): i for t, i in parts(links).items()}
+        for _, *v in faces:
+            for k in range(3) if len(set(v)) == 3 else ():
+                around.setdefault(v[k], []).append((v[k - 2], v[k - 1]))
+        fans |= {(o, v): len(set(parts(some).values())) for v, some in around.items()}
+    assert sum(len(x) for x in objects.values()) == len(islands) == spark.read.parquet(f"{SF}/lineitem.parquet").count() > 12 * len(objects)
+    assert {(r.object_id, r.tid): r.island for r in bindings.QUERIES["mesh_islands_whole"](spark, SF).collect()} == islands
+    assert {(r.object_id, r.v): r.fans for r in bindings.QUERIES["vertex_fans_whole"](spark, SF).collect()} == fans
