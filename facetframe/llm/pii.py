@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table, text_key
 
 KEY = "facetframe-surrogates"
-ATTEMPTS = 16
+#: From this attempt on, surrogates get longer by one place with each attempt (IP addresses get wider octets), as those of the mention's own length may be used up.
+GROW = 3
 
 #: Titles by gender; syllables and endings that surrogate names are built from, by script and gender.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")}
@@ -83,18 +84,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
-def _card(mention: Column, stream: Column) -> Column:
+def _extra(attempt: Column) -> Column:
+    """How many places a surrogate is longer than its mention."""
+    return F.greatest(attempt - (GROW - 1), F.lit(0))
+
+
+def _card(mention: Column, stream: Column, attempt: Column) -> Column:
     """Digits replaced; the last one makes the number valid by Luhn just where the mention is."""
-    spelled, was = _spelled(mention, stream), _luhn(F.regexp_replace(mention, "[^0-9]", "")) % 10
+    spelled, was = _spelled(F.concat(F.repeat(F.lit("0"), _extra(attempt)), mention), stream), _luhn(F.regexp_replace(mention, "[^0-9]", "")) % 10
     head = F.substr(spelled, F.lit(1), F.length(spelled) - 1)
     check = F.pmod(was - _luhn(F.concat(F.regexp_replace(head, "[^0-9]", ""), F.lit("0"))), F.lit(10))
     return F.concat(head, check.cast("string"))
 
 
-def _ip(mention: Column, stream: Column) -> Column:
+def _ip(mention: Column, stream: Column, attempt: Column) -> Column:
     def octet(c: Column, i: Column) -> Column:
         n = _number(stream, i)
-        return F.when(F.length(c) == 3, 100 + n % 156).when(F.length(c) == 2, 10 + n % 90).otherwise(1 + n % 9).cast("string")
+        return F.when(attempt >= GROW + 4, 100 + n % 900).when((attempt >= GROW) | (F.length(c) == 3), 100 + n % 156).when(F.length(c) == 2, 10 + n % 90).otherwise(1 + n % 9).cast("string")
 
     return F.array_join(F.transform(F.split(mention, r"\."), octet), ".")
 
@@ -107,7 +113,9 @@ def _name(part: Column, gender: Column | None, attempt: Column) -> Column:
         of = F.array(*[F.lit(x) for x in SYLLABLES[script]])
         end = lambda g: F.element_at(F.array(*[F.lit(x) for x in ENDINGS[script, g]]), _number(s, F.lit(9)) % 4 + 1)
         tail = end("s") if gender is None else F.when(gender == "f", end("f")).otherwise(end("m"))
-        return F.concat(F.initcap(F.concat(*[F.element_at(of, _number(s, F.lit(i)) % 16 + 1) for i in range(3)])), tail)
+        syllable = lambda i: F.element_at(of, _number(s, i) % 16 + 1)
+        more = F.when(_extra(attempt) > 0, F.array_join(F.transform(F.sequence(F.lit(10), 9 + _extra(attempt)), syllable), "")).otherwise("")
+        return F.concat(F.initcap(F.concat(*[syllable(F.lit(i)) for i in range(3)])), more, tail)
 
     return F.when(part.rlike(r"\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
 
@@ -128,16 +136,18 @@ def _email(mention: Column, stream: Column, attempt: Column) -> Column:
     tail = F.when(F.size(F.split(domain, r"\.")) > 2, F.concat(F.lit("."), F.substring_index(domain, ".", -2))).otherwise(tail)
     own = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
     spelled = _spelled(own, _stream(F.lit("domain"), F.lower(domain), attempt))
-    return F.concat(_spelled(F.substring_index(mention, "@", 1), stream), F.lit("@"), spelled, tail)
+    name = F.concat(F.substring_index(mention, "@", 1), F.repeat(F.lit("a"), _extra(attempt)))
+    return F.concat(_spelled(name, stream), F.lit("@"), spelled, tail)
 
 
 def surrogate(kind: Column, mention: Column, stream: Column, attempt: Column) -> Column:
     code = F.regexp_extract(mention, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    after = lambda at: F.concat(F.substr(mention, at), F.repeat(F.lit("0"), _extra(attempt)))  # noqa: E731  digits that the mention does not have, to be spelled
     return (
-        F.when(kind == "email", _email(mention, stream, attempt)).when(kind == "secret", F.when(mention.rlike("^(?:AKIA|gh[pousr]_)"), F.concat(F.substr(mention, F.lit(1), F.lit(4)), _spelled(F.substr(mention, F.lit(5)), stream))).otherwise(_spelled(mention, stream, True)))
-        .when(kind == "phone", F.concat(code, _spelled(F.substr(mention, F.length(code) + 1), stream))).when(kind == "ip", _ip(mention, stream))
-        .when(kind == "card", _card(mention, stream)).when(kind == "iban", F.concat(F.substr(mention, F.lit(1), F.lit(2)), _spelled(F.substr(mention, F.lit(3)), stream)))
-        .when(kind == "ssn", _spelled(mention, stream)).otherwise(_person(mention, attempt))
+        F.when(kind == "email", _email(mention, stream, attempt)).when(kind == "secret", F.when(mention.rlike("^(?:AKIA|gh[pousr]_)"), F.concat(F.substr(mention, F.lit(1), F.lit(4)), _spelled(after(F.lit(5)), stream))).otherwise(_spelled(after(F.lit(1)), stream, True)))
+        .when(kind == "phone", F.concat(code, _spelled(after(F.length(code) + 1), stream))).when(kind == "ip", _ip(mention, stream, attempt))
+        .when(kind == "card", _card(mention, stream, attempt)).when(kind == "iban", F.concat(F.substr(mention, F.lit(1), F.lit(2)), _spelled(after(F.lit(3)), stream)))
+        .when(kind == "ssn", _spelled(after(F.lit(1)), stream)).otherwise(_person(mention, attempt))
     )
 
 
@@ -158,21 +168,26 @@ def settle(entities: DataFrame) -> DataFrame:
     """entities: distinct (kind, norm, mention: one of its spellings). Returns the (kind, norm, attempt) that need an attempt other than 0.
 
     A surrogate collides if another entity of its kind has it too or if it is itself an entity of the corpus. Of those
-    that share one, the first by name keeps it; the others, and any that is an entity, try again.
+    that share one, the first by name keeps it; the others, and any that is an entity, try again. The space of surrogates
+    grows with the attempts (that of IP addresses up to 900^4), so this ends however many entities the corpus has.
     """
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each: not to be put together into one task
     known = entities.select("kind", F.col("norm").alias("sur"))
-    now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ATTEMPTS):
-        made = now.withColumn("stream", _stream(F.col("kind"), F.col("norm"), F.col("attempt")))
-        made = checkpointed(made.select("kind", "norm", _norm(F.col("kind"), surrogate(F.col("kind"), F.col("mention"), F.col("stream"), F.col("attempt"))).alias("sur")))
+    todo, kept = entities.withColumn("attempt", F.lit(0)), None
+    while True:
+        made = todo.withColumn("stream", _stream(F.col("kind"), F.col("norm"), F.col("attempt")))
+        made = checkpointed(made.select("kind", "norm", "mention", "attempt", surrogate(F.col("kind"), F.col("mention"), F.col("stream"), F.col("attempt")).alias("sur")))
+        made = made.withColumn("sur", _norm(F.col("kind"), F.col("sur")))
+        made = made if kept is None else kept.unionByName(made)
         first = made.groupBy("kind", "sur").agg(F.min("norm").alias("keeps"), F.count(F.lit(1)).alias("n"))
         same = made.join(first.where("n > 1"), ["kind", "sur"]).where("norm <> keeps").select("kind", "norm")
         real = made.join(known, ["kind", "sur"], "left_semi").select("kind", "norm")
         again = checkpointed(same.unionByName(real).distinct().withColumn("again", F.lit(1)))
         if again.isEmpty():
-            return now.where("attempt > 0").select("kind", "norm", "attempt")
-        now = checkpointed(now.join(again, ["kind", "norm"], "left").select("kind", "norm", "mention", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
-    raise ValueError("surrogates still collide")
+            return made.where("attempt > 0").select("kind", "norm", "attempt")
+        marked = checkpointed(made.join(again, ["kind", "norm"], "left"))
+        kept = marked.where("again is null").drop("again")
+        todo = marked.where("again = 1").select("kind", "norm", "mention", (F.col("attempt") + 1).alias("attempt")).repartition(parts, "norm")
 
 
 def replace_entities(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -140,6 +140,17 @@ def test_surrogates(spark, odd):
     assert re.search(r'token = "[0-9a-f]{40}" nothing', got[3].text)
 
 
+def test_surrogates_of_more_entities_than_short_ones_exist(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("person", "Q" + "".join(letters[i // 26**k % 26] for k in range(4))) for i in range(17_000)] + [("ip", ".".join(f"{i:04}")) for i in range(10_000)]
+    rows += [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("email", "-@-.-")]
+    entities = spark.createDataFrame(rows, "kind string, norm string").withColumn("mention", F.when(F.col("kind") == "person", F.concat(F.lit("Mr "), "norm")).otherwise(F.col("norm"))).repartition(8).cache()
+    kind, attempt = F.col("kind"), F.coalesce("attempt", F.lit(0))
+    made = entities.join(pii.settle(entities), ["kind", "norm"], "left").select("kind", "mention", pii.surrogate(kind, F.col("mention"), pii._stream(kind, F.col("norm"), attempt), attempt).alias("new"))
+    got = made.collect()
+    assert len({(r.kind, r.new) for r in got}) == len(got) == len(rows) and not {r.new for r in got} & {r.mention for r in got}
+
+
 def test_url_rules(spark):
     urls = ["https://A.example.ORG/es/1?x", "http://example.org/en/12", "http://b.org/", "http://b.org", "x.com/de/", None, "https://m.q.com/de/1#t", "https://q.com/fr/2"]
     got = [tuple(r)[1:5] for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
