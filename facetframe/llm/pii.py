@@ -30,7 +30,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]|gh[pousr]_[A-Za-z]|(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def _kind(mention: Column) -> Column:

@@ -151,6 +151,14 @@ def test_surrogates_of_more_entities_than_short_ones_exist(spark):
     assert len({(r.kind, r.new) for r in got}) == len(got) == len(rows) and not {r.new for r in got} & {r.mention for r in got}
 
 
+def test_secrets_without_digits(spark):
+    keys = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "abcdef" * 6, "FEDCBA" * 6]
+    rows = [(i, f"the key {k} stands alone") for i, k in enumerate(keys)]
+    got = [r for r in sorted(pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect())]
+    assert [r.n_entities for r in got] == [1] * 4 and not any(k in r.text for k, r in zip(keys, got))
+    assert all(re.fullmatch(p, r.text.split()[2]) for p, r in zip(("AKIA[A-Z]{16}", "ghp_[A-Za-z]{36}", "[a-f]{36}", "[A-F]{36}"), got))
+
+
 def test_url_rules(spark):
     urls = ["https://A.example.ORG/es/1?x", "http://example.org/en/12", "http://b.org/", "http://b.org", "x.com/de/", None, "https://m.q.com/de/1#t", "https://q.com/fr/2"]
     got = [tuple(r)[1:5] for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
