@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.vectors import matmul
+from ..llm.common import checkpointed
+from ..llm.near_dedup import components
 
 MAX_DEPTH = 16
 
@@ -48,29 +50,14 @@ def resolve(items: DataFrame, components: DataFrame, max_depth: int = MAX_DEPTH)
 def islands(triangles: DataFrame) -> DataFrame:
     """(object_id, tid, island): triangles connected by shared edges; an island is named by its least tid.
 
-    One group is one mesh object, which a reader builds from one file part.
+    At each edge the least triangle is linked with the others; labels then move along links, so an object may be of any size.
     """
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tid")
-        tids, parent, edge_of = pdf["tid"].tolist(), list(range(len(pdf))), {}
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        for i, (a, b, c) in enumerate(pdf[["v1", "v2", "v3"]].itertuples(index=False)):
-            for e in ((a, b), (b, c), (c, a)):
-                e = (min(e), max(e))
-                if e in edge_of:
-                    x, y = root(edge_of[e]), root(i)
-                    parent[max(x, y)] = min(x, y)
-                else:
-                    edge_of[e] = i
-        return pd.DataFrame({"object_id": pdf["object_id"], "tid": tids, "island": [tids[root(i)] for i in range(len(tids))]})
-
-    return triangles.select("object_id", "tid", "v1", "v2", "v3").groupBy("object_id").applyInPandas(find, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
+    ends = F.array(*[F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")) for p, q in (("v1", "v2"), ("v2", "v3"), ("v3", "v1"))])
+    sides = checkpointed(triangles.select("object_id", "tid", F.explode(ends).alias("e")))
+    least = sides.groupBy("object_id", "e").agg(F.min("tid").alias("first"))
+    links = sides.join(least, ["object_id", "e"]).where("tid <> first").select(F.struct("object_id", F.col("first").alias("tid")).alias("a"), F.struct("object_id", "tid").alias("b")).distinct()
+    labels = components(links).select(F.col("key.object_id").alias("object_id"), F.col("key.tid").alias("tid"), F.col("label.tid").alias("island"))
+    return triangles.select("object_id", F.col("tid").cast("long").alias("tid")).join(labels, ["object_id", "tid"], "left").select("object_id", "tid", F.coalesce("island", "tid").cast("long").alias("island"))
 
 
 @F.pandas_udf(IntegerType())

@@ -210,3 +210,11 @@ def test_whole_meshes_by_brute_force(spark):
     assert sum(len(x) for x in objects.values()) == len(islands) == spark.read.parquet(f"{SF}/lineitem.parquet").count() > 12 * len(objects)
     assert {(r.object_id, r.tid): r.island for r in bindings.QUERIES["mesh_islands_whole"](spark, SF).collect()} == islands
     assert {(r.object_id, r.v): r.fans for r in bindings.QUERIES["vertex_fans_whole"](spark, SF).collect()} == fans
+
+
+def test_islands_of_one_large_object(spark):
+    strip = [(i, i + 1, i + 2) for i in range(400)]
+    t, _ = mesh(spark, [(0.0, 0.0, 0.0)], strip[1::2] + strip[::2] + [(900, 901, 902)])
+    named = S.islands(t)
+    assert {r.tid: r.island for r in named.collect()} == {i: 0 if i < 400 else 400 for i in range(401)}
+    assert "InPandas" not in named._jdf.queryExecution().toString()
