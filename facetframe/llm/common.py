@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,11 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a local folder is used only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session without executors of their own (tests) may go without: it gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -57,12 +67,27 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` rows, chosen by a hash of their columns: the same ones on every run, whatever the partitioning, and spread over all of df."""
+    """At most `rows` rows, chosen by a hash of their columns: the same ones on every run, whatever the partitioning, and spread over all of df.
+
+    Repeated rows are kept or left together; if that leaves none, any `rows` rows are taken.
+    """
     on = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
     n = df.count()
-    if n > rows:
-        df = df.where(F.pmod(F.xxhash64(*on, F.lit(17)), F.lit(1 << 31)) < int(0.9 * rows / n * (1 << 31)))
-    return checkpointed(df.limit(rows).repartition(8, *on))
+    if n <= rows:
+        return checkpointed(df.repartition(8, *on))
+    chosen = df.where(F.pmod(F.xxhash64(*on, F.lit(17)), F.lit(1 << 31)) < int(0.9 * rows / n * (1 << 31)))
+    some = checkpointed(chosen.limit(rows).repartition(8, *on))
+    return checkpointed(df.limit(rows).repartition(8, *on)) if some.isEmpty() else some
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that belong to at most `rows` labelled ids, with their label.
+
+    Ids are chosen by hash from labels, before any text is read, and broadcast (at most `rows` of them), so docs are
+    scanned once and only the chosen texts move. Labels other than 0 and 1 and null ids are left out.
+    """
+    ids = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(doc_id, label).distinct()
+    return checkpointed(docs.join(F.broadcast(bounded_sample(ids, rows)), doc_id))
 
 
 def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int, rows_per_task: int = 20_000) -> DataFrame:

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, small_batches, table
+from .common import bounded_sample, held_out, labelled_texts, small_batches, table
 
-#: Bounds: labelled rows that the lexicon is learned from, entries it has, phrases that are exceptions.
-TRAIN_ROWS, MAX_ENTRIES, MAX_EXCEPTIONS = 8000, 2000, 2000
+#: Bound of the labelled rows that the lexicon is learned from. What it holds is bounded by them: each entry and each exception is in at least MIN_TEXTS of them.
+TRAIN_ROWS = 8000
 #: An entry is in at least so many toxic training texts, and its odds to be toxic are at least so many times those of any text.
 MIN_TEXTS, MIN_LIFT = 4, 8.0
 PREFIXES = range(4, 9)
@@ -42,6 +42,23 @@ def fold(text: str) -> str:
 WORD_SIGNS = re.compile(r"[\w@$]*[\d@$Ͱ-ϿЀ-ԯ][\w@$]*")
 
 
+def phrases_at(folded: str, start: int, entry: str) -> list[tuple[str, str]]:
+    """(word before, entry) and (entry, word after) of a hit whose word begins at `start`, however far off those words are."""
+    found, end = [], start
+    while end and not folded[end - 1].isalnum():
+        end -= 1
+    at = end
+    while at and folded[at - 1].isalnum():
+        at -= 1
+    if at < end:
+        found.append((folded[at:end], entry))
+    own = WORD.match(folded, start)
+    after = WORD.search(folded, own.end() if own else start)
+    if after:
+        found.append((entry, after[0]))
+    return found
+
+
 class Lexicon:
     """entries: text → weight, found where a word begins; exceptions: (word before, entry) and (entry, word after) pairs that don't count."""
 
@@ -74,10 +91,7 @@ class Lexicon:
         return [(s, e, w) for s, (e, w) in sorted(best.items())]
 
     def _excused(self, folded: str, start: int, entry: str) -> bool:
-        if not self.exceptions:
-            return False
-        before, after = re.search(r"([^\W_]+)[\W_]+$", folded[max(0, start - 40) : start]), re.match(r"[^\W_]*[\W_]+([^\W_]+)", folded[start : start + 80])
-        return bool(before and (before[1], entry) in self.exceptions or after and (entry, after[1]) in self.exceptions)
+        return bool(self.exceptions) and any(phrase in self.exceptions for phrase in phrases_at(folded, start, entry))
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Weight that counts, in all and per 100 characters, each as a logarithm."""
@@ -123,7 +137,7 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", rows: int
         return Lexicon({}, fit=(-3.0 if n_c else 0.0, 0.0, 0.0))
     odds = F.log((F.col("t") + 0.5) / (n_t + 1) / ((F.col("c") + 0.5) / (n_c + 1)))
     counts = some.mapInPandas(starts, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"t >= {MIN_TEXTS}").withColumn("w", odds).where(F.col("w") >= math.log(MIN_LIFT))
-    found = counts.where(F.col("t") * n_c >= F.col("c") * n_t * MIN_LIFT).orderBy(F.desc("t"), F.length("entry"), "entry").limit(MAX_ENTRIES * 20).collect()
+    found = counts.where(F.col("t") * n_c >= F.col("c") * n_t * MIN_LIFT).orderBy(F.desc("t"), F.length("entry"), "entry").collect()
     by = {r.entry: r for r in found}
     children: dict[str, list[str]] = defaultdict(list)
     for x in by:
@@ -137,8 +151,6 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", rows: int
         if any(r.entry[:k] in entries for k in range(min(PREFIXES), len(r.entry))):
             continue  # a shorter entry with more texts is in already
         entries[r.entry] = float(r.w)
-        if len(entries) >= MAX_ENTRIES:
-            break
     raw = Lexicon(entries)
     sent = spark.sparkContext.broadcast(raw)
 
@@ -148,16 +160,13 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", rows: int
             for t, y in zip(batch["text"], batch["toxic"]):
                 folded, own = fold(t), set()
                 for s, e, _ in sent.value.hits(folded):
-                    if m := re.search(r"([^\W_]+)[\W_]+$", folded[max(0, s - 40) : s]):
-                        own.add((m[1], e))
-                    if m := re.match(r"[^\W_]*[\W_]+([^\W_]+)", folded[s : s + 80]):
-                        own.add((e, m[1]))
+                    own.update(phrases_at(folded, s, e))
                 seen[int(y)].update(own)
             keys = [*(seen[0].keys() | seen[1].keys())]
             if keys:
                 yield pd.DataFrame({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "t": [seen[1][k] for k in keys], "c": [seen[0][k] for k in keys]})
 
-    excused = some.mapInPandas(phrases, "a string, b string, t long, c long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"c >= {MIN_TEXTS} and c * {n_t} > 4 * t * {n_c}").orderBy(F.desc("c"), "a", "b").limit(MAX_EXCEPTIONS).collect()
+    excused = some.mapInPandas(phrases, "a string, b string, t long, c long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"c >= {MIN_TEXTS} and c * {n_t} > 4 * t * {n_c}").collect()
     lexicon = Lexicon(entries, {(r.a, r.b) for r in excused})
     again = spark.sparkContext.broadcast(lexicon)
 
@@ -177,12 +186,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
     Null and empty texts get the score of a text without hits. Repeated rows are scored alike; an empty table gives an
     empty result. An input column `toxicity` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES and MAX_EXCEPTIONS
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the rows that it was learned from
     return small_batches(docs).withColumn("toxicity", F.pandas_udf(lambda texts: pd.Series([sent.value.score(t) for t in texts], dtype=float), "double")(F.col(text).cast("string")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lexicon = fit(docs.where("not held_out").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    lexicon = fit(labelled_texts(docs, labels, "toxic", TRAIN_ROWS))
     return score_toxicity(docs, lexicon).select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
