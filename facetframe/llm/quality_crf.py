@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, small_batches, table
+from .common import bounded_sample, held_out, labelled_texts, small_batches, table
 
-#: Bound of the labelled rows that the field is fitted on, and of the lines of each that it sees in training.
-TRAIN_ROWS, TRAIN_LINES = 4000, 200
+#: Bounds of the labelled rows that the field is fitted on: so many whole texts, of so many lines in all.
+TRAIN_ROWS, TRAIN_LINES = 4000, 400_000
+#: Lines (with padding) of the chains that are worked on together.
+GROUP_LINES = 40_000
 STEPS, RATE, RIDGE = 150, 0.08, 1e-3
 WORD = re.compile(r"\S+")
 SYMBOLS, STOPS = "#*$%&|<>{}[]\\^~=", ".,;:?"
@@ -48,8 +50,8 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([own, before, after, short, np.ones((len(own), 1))]), np.array(sizes, float)
 
 
-def _chain(unary: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward over chains padded to one length: unary (docs, lines, 2). Marginals, expected transitions and the sum of log Z."""
+def _chain(unary: np.ndarray, pair: np.ndarray, lengths: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward over chains padded to one length: unary (docs, lines, 2). Marginals, expected transitions (each chain's times its share) and the sum of log Z."""
     n, m, _ = unary.shape
     at = np.arange(m)[None, :] < lengths[:, None]
     alpha, beta = np.zeros_like(unary), np.zeros_like(unary)
@@ -67,7 +69,8 @@ def _chain(unary: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> tuple[np
     if m > 1:
         for a in (0, 1):
             for b in (0, 1):
-                moves[a, b] = (np.exp(alpha[:, :-1, a] + pair[a, b] + unary[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * at[:, 1:]).sum()
+                each = (np.exp(alpha[:, :-1, a] + pair[a, b] + unary[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * at[:, 1:]).sum(axis=1)
+                moves[a, b] = each.sum() if share is None else each @ share
     return marginal, moves, float(z.sum())
 
 
@@ -75,7 +78,7 @@ class Field:
     """weights: of a line's features for 'good'; pair[a, b]: of label b after a (0 bad, 1 good)."""
 
     def __init__(self, width: int = 3 * OWN + 2):
-        self.weights, self.pair, self.cut, self.prior = np.zeros(width), np.zeros((2, 2)), 0.5, 0.5
+        self.weights, self.pair = np.zeros(width), np.zeros((2, 2))
 
     def quality(self, text: str | None) -> float:
         x, sizes = line_features(text)
@@ -84,56 +87,54 @@ class Field:
         unary = np.zeros((1, len(x), 2))
         unary[0, :, 1] = x @ self.weights
         marginal, _, _ = _chain(unary, self.pair, np.array([len(x)]))
-        p = float((marginal[0, :, 1] * sizes).sum() / sizes.sum())
-        return p / (2 * self.cut) if p < self.cut else 0.5 + (p - self.cut) / (2 * (1 - self.cut))  # the threshold is at 0.5
+        return float((marginal[0, :, 1] * sizes).sum() / sizes.sum())
 
 
-def fit(labelled: DataFrame, text: str = "text", quality: str = "quality", rows: int = TRAIN_ROWS) -> Field:
-    """labelled: texts with quality 0 or 1. Fitted on at most `rows` of them, chosen by hash: each line takes its text's label.
+def fit(labelled: DataFrame, text: str = "text", quality: str = "quality", rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Field:
+    """labelled: texts with quality 0 or 1. Each line takes its text's label.
 
+    Fitted on at most `rows` texts chosen by hash, and of these on as many whole ones as have `lines` lines in all.
     Features come from Spark; conditional likelihood is climbed by Adam, each class with the same weight.
     """
     some = bounded_sample(labelled.withColumns({"text": F.col(text).cast("string"), "y": F.col(quality).cast("int")}).where("text is not null and y in (0, 1)"), rows).select("text", "y")
+    sized = some.select("text", "y", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n"), F.xxhash64("text").alias("at"))
+    upto = F.sum("n").over(Window.orderBy("at", "n", "y"))  # of at most `rows` rows
+    some = sized.withColumn("upto", upto).where(F.col("upto") <= lines).select("text", "y").repartition(8)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [line_features(t)[0][:TRAIN_LINES].astype(np.float32) for t in batch["text"]]
+            made = [line_features(t)[0].astype(np.float32) for t in batch["text"]]
             yield pd.DataFrame({"x": [m.tobytes() for m in made], "y": batch["y"].to_numpy()})
 
     found = some.mapInPandas(features, "x binary, y int").toPandas().sort_values(["y", "x"])
     field = Field()
     width = len(field.weights)
-    docs = [(np.frombuffer(x, np.float32).reshape(-1, width).astype(float), y) for x, y in zip(found["x"], found["y"]) if len(x)]
+    docs = [(np.frombuffer(x, np.float32).reshape(-1, width), y) for x, y in zip(found["x"], found["y"]) if len(x)]
     good = sum(y for _, y in docs)
     if not docs or good in (0, len(docs)):
         return field
-    docs.sort(key=lambda d: len(d[0]))
     groups = []
-    for lo in range(0, len(docs), 400):  # chains of like lengths together
-        part = docs[lo : lo + 400]
-        m = max(len(x) for x, _ in part)
-        x = np.zeros((len(part), m, width))
-        for i, (own, _) in enumerate(part):
-            x[i, : len(own)] = own
-        n, y = np.array([len(own) for own, _ in part]), np.array([y for _, y in part])
-        groups.append((x, n, y, np.where(y == 1, 0.5 / good, 0.5 / (len(docs) - good))))
+    for label, share in ((0, 0.5 / (len(docs) - good)), (1, 0.5 / good)):
+        own = sorted((x for x, y in docs if y == label), key=len)
+        while own:  # chains of like lengths together, fewer of them where they are long
+            part = own[-max(1, min(400, GROUP_LINES // len(own[-1]))) :]
+            del own[-len(part) :]
+            x, n = np.zeros((len(part), len(part[-1]), width)), np.array([len(p) for p in part])
+            for i, p in enumerate(part):
+                x[i, : len(p)] = p
+            groups.append((x.reshape(-1, width), n, label, share / n))
     w, pair = field.weights, field.pair
     m1, m2 = np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, STEPS + 1):
         gw, gp = -RIDGE * w, -RIDGE * pair
-        for x, n, y, share in groups:
-            unary = np.zeros((*x.shape[:2], 2))
-            unary[:, :, 1] = x @ w
-            at = np.arange(x.shape[1])[None, :] < n[:, None]
-            marginal, _, _ = _chain(unary, pair, n)
-            each = share / np.maximum(1, n)
-            gw = gw + (((at * y[:, None]) - marginal[:, :, 1]) * each[:, None]).reshape(-1) @ x.reshape(-1, width)
-            for a in (0, 1):
-                one = _chain(unary[y == a], pair, n[y == a])[1] if (y == a).any() else np.zeros((2, 2))
-                scale = float(each[y == a].mean()) if (y == a).any() else 0.0
-                real = np.zeros((2, 2))
-                real[a, a] = float((n[y == a] - 1).sum())
-                gp = gp + (real - one) * scale
+        for x, n, label, share in groups:
+            unary = np.zeros((len(n), len(x) // len(n), 2))
+            unary[:, :, 1] = (x @ w).reshape(len(n), -1)
+            at = np.arange(unary.shape[1])[None, :] < n[:, None]
+            marginal, moves, _ = _chain(unary, pair, n, share)
+            gw = gw + ((at * label - marginal[:, :, 1]) * share[:, None]).reshape(-1) @ x
+            gp = gp - moves
+            gp[label, label] += (n - 1) @ share
         g = np.concatenate([gw, gp.reshape(-1)])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -154,6 +155,6 @@ def score_quality(docs: DataFrame, field: Field, text: str = "text") -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    field = fit(docs.where("not held_out").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
+    field = fit(labelled_texts(docs, labels, "quality", TRAIN_ROWS))
     return score_quality(docs, field).select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
