@@ -127,7 +127,7 @@ def test_differencing_beats_none():
 
 def test_surrogates(spark, odd):
     rows = [(1, "Mr John Smith and Mrs Anna Smith met Mr Smith; Господин Иванов wrote to a.b@x.example.com"), (2, "card 4111111111111111, ip 10.0.200.7, a.b@x.example.com, +1 (743) 555-3824."), (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" nothing')]
-    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for i, old in rows:
         for m in re.findall(r"John|Smith|Иванов|a\.b@x|4111111111111111|10\.0\.200\.7|743|24be6443\w+", old):
             assert m not in got[i].text
@@ -142,11 +142,11 @@ def test_surrogates(spark, odd):
 
 def test_surrogates_of_more_entities_than_short_ones_exist(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [("person", "Q" + "".join(letters[i // 26**k % 26] for k in range(4))) for i in range(17_000)] + [("ip", ".".join(f"{i:04}")) for i in range(10_000)]
+    rows = [("surname", "Q" + "".join(letters[i // 26**k % 26] for k in range(4))) for i in range(17_000)] + [("ip", ".".join(f"{i:04}")) for i in range(10_000)]
     rows += [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("email", "-@-.-")]
-    entities = spark.createDataFrame(rows, "kind string, norm string").withColumn("mention", F.when(F.col("kind") == "person", F.concat(F.lit("Mr "), "norm")).otherwise(F.col("norm"))).repartition(8).cache()
+    entities = spark.createDataFrame(rows, "kind string, norm string").withColumn("mention", F.col("norm")).repartition(8).cache()
     kind, attempt = F.col("kind"), F.coalesce("attempt", F.lit(0))
-    made = entities.join(pii.settle(entities), ["kind", "norm"], "left").select("kind", "mention", pii.surrogate(kind, F.col("mention"), pii._stream(kind, F.col("norm"), attempt), attempt).alias("new"))
+    made = entities.join(pii.settle(entities, "k"), ["kind", "norm"], "left").select("kind", "mention", pii.surrogate("k", kind, F.col("mention"), pii._stream("k", kind, F.col("norm"), attempt), attempt).alias("new"))
     got = made.collect()
     assert len({(r.kind, r.new) for r in got}) == len(got) == len(rows) and not {r.new for r in got} & {r.mention for r in got}
 
@@ -154,7 +154,7 @@ def test_surrogates_of_more_entities_than_short_ones_exist(spark):
 def test_secrets_without_digits(spark):
     keys = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "abcdef" * 6, "FEDCBA" * 6]
     rows = [(i, f"the key {k} stands alone") for i, k in enumerate(keys)]
-    got = [r for r in sorted(pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect())]
+    got = [r for r in sorted(pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect())]
     assert [r.n_entities for r in got] == [1] * 4 and not any(k in r.text for k, r in zip(keys, got))
     assert all(re.fullmatch(p, r.text.split()[2]) for p, r in zip(("AKIA[A-Z]{16}", "ghp_[A-Za-z]{36}", "[a-f]{36}", "[A-F]{36}"), got))
 
@@ -188,7 +188,7 @@ def test_odd_rows(spark, odd):
         assert near_dedup.near_duplicates(df).count() == n
         assert sharding.shard_documents(df).count() == n
         assert quality_rules.quality_cascade(df, with_facts=True).count() == n
-        assert pii.replace_entities(df).count() == n
+        assert pii.replace_entities(df, "k").count() == n
         assert packing.pack_documents(df, packing.default_tokenizer()).select("doc_id").distinct().count() == (7 if n else 0)
         bench = spark.createDataFrame([("i", "one two three"), ("j", None), ("k", "")], "item_id string, text string")
         hits = decontaminate.decontaminate(df, bench).where("n_hit > 0").collect()
