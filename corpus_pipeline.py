@@ -16,7 +16,7 @@ from facetframe.llm.common import table
 from facetframe.llm.decontaminate import decontaminate
 from facetframe.llm.near_dedup import keep_one
 from facetframe.llm.packing import default_tokenizer, pack_documents
-from facetframe.llm.pii import replace_entities
+from facetframe.llm.pii import replace_entities, session_key
 from facetframe.llm.quality_rules import quality_cascade
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,7 +40,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; n_chars follows."""
-    return replace_entities(docs).withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return replace_entities(docs, session_key(spark)).withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
