@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ WINDOW = 10
 #: As in lower-cased text, but found before lower-casing, so that places in the text stay what they are.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: Text of the benchmark that one task holds at a time, and text that one index covers.
-BLOCK_BYTES, SHARD_CHARS = 32_000_000, 8_000_000
+#: Bytes of the benchmark's text that a worker holds at a time (its windows take about 60 MB), and bytes of text that one index covers at least.
+BLOCK_BYTES, SHARD_CHARS = 4_000_000, 8_000_000
 #: Every so many-th place of the text is kept in the index.
 SAMPLED = 8
 
@@ -105,22 +106,36 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct windows of benchmark items as word numbers, with the items of each."""
+    """Distinct windows of benchmark items as word numbers, with the items of each. groups: for each length (windows, edges, owners): the w-th window's items are owners[edges[w] : edges[w + 1]]."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.vocabulary: dict[str, int] = {}
-        owners: dict[tuple, set] = {}
-        for item, text in items:
-            at = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")]
-            for k in range(max(1, len(at) - window + 1) if at else 0):
-                owners.setdefault(tuple(at[k : k + window]), set()).add(item)
+        self.ids, by_size = [i for i, _ in items], {}
+        for k, (_, text) in enumerate(items):
+            at = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")], dtype=np.int32)
+            if len(at):
+                rows = np.lib.stride_tricks.sliding_window_view(at, min(window, len(at)))
+                by_size.setdefault(rows.shape[1], []).append((rows, np.full(len(rows), k, dtype=np.int32)))
         self.groups = []
-        for size in sorted({len(p) for p in owners}):
-            some = [p for p in owners if len(p) == size]
-            self.groups.append((np.array(some, dtype=np.int64), [sorted(owners[p]) for p in some]))
+        for size in sorted(by_size):
+            rows, owner = (np.concatenate(x) for x in zip(*by_size.pop(size)))
+            rows, which = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(self.ids) + owner)
+            self.groups.append((rows, np.searchsorted(pairs // len(self.ids), np.arange(len(rows) + 1)), (pairs % len(self.ids)).astype(np.int32)))
         self.shortest = self.groups[0][0].shape[1] if self.groups else 0
 
 
+_built: dict[str, Phrases] = {}
+
+
+def _phrases(token: str, sent) -> Phrases:
+    """The phrases of a broadcast block, which each worker builds once; those of one block at a time are kept."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = Phrases(sent.value)
+    return _built[token]
+
+
 def _search(numbers: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set]]:
     """For texts as word numbers (0: no benchmark word), whether each word of their concatenation is hit, its text's edges, the items of each text."""
     edges = np.cumsum([0, *[len(x) + 1 for x in numbers]])
@@ -139,7 +154,7 @@ def _search(numbers: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np
         text = words[np.minimum(origin, len(words) - 1)]
         text[before + sizes - 1] = 0
         index = FMIndex(text, len(phrases.vocabulary))
-        for rows, owners in phrases.groups:
+        for rows, edge, owners in phrases.groups:
             low, high = index.ranges(rows)
             found = np.flatnonzero(high > low)
             many = (high - low)[found]
@@ -150,51 +165,65 @@ def _search(numbers: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np
             np.add.at(hit, at, 1)
             np.add.at(hit, at + rows.shape[1], -1)
             doc = np.searchsorted(edges, at, side="right") - 1
-            for d, p in set(zip(doc.tolist(), np.repeat(found, many).tolist())):
-                items[d].update(owners[p])
+            for d, p in np.unique(np.column_stack([doc, np.repeat(found, many)]), axis=0).tolist():
+                items[d].update(owners[edge[p] : edge[p + 1]].tolist())
     return np.cumsum(hit)[:-1] > 0, edges, items
 
 
 KIND = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>, clean string"
+_KINDS = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("clean", pa.string()))
+
+
+def _with(batch: pa.RecordBatch, drop: tuple[str, ...], found: list[tuple]) -> pa.RecordBatch:
+    """batch without some columns and with what was found of each text."""
+    names = [n for n in batch.schema.names if n not in drop]
+    made = list(zip(*found)) if found else [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(list(x), kind) for x, (_, kind) in zip(made, _KINDS))], [*names, *(n for n, _ in _KINDS)])
 
 
-def _scan(phrases_of, with_clean: bool):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases: Phrases = phrases_of()
-        numbered = dict(phrases.vocabulary)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have SHARD_CHARS bytes of text: what one index covers."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= SHARD_CHARS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _judged(text: str, own: np.ndarray, items: list[str], with_clean: bool) -> tuple:
+    """What KIND says of a text whose words are hit as `own` says."""
+    n, spans = int(own.sum()), []
+    if n:
+        places = [m.span() for m in WORD.finditer(text)]
+        turn = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+        spans = [(places[a][0], places[b - 1][1]) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist())]
+    return len(own), n, items, [{"start": a, "end": b} for a, b in spans], _without(text, spans) if with_clean and n else None
+
+
+def _scan(token: str, sent, with_clean: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = _phrases(token, sent)
 
         class Seen(dict):
             def __missing__(self, w):
-                self[w] = n = numbered.get(w.translate(LOWER), 0)
+                self[w] = n = phrases.vocabulary.get(w.translate(LOWER), 0)
                 return n
 
         seen = Seen()
-        for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            edges, size = [0], 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= SHARD_CHARS:
-                    edges.append(i + 1)
-                    size = 0
-            parts = []
-            for lo, hi in zip(edges, [*edges[1:], len(texts)]):
-                numbers = []
-                for t in texts[lo:hi]:
-                    ws = WORD.findall(t)
-                    numbers.append(np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws)))
+        for batch in _shards(batches):
+            texts, numbers = [t or "" for t in batch.column("text").to_pylist()], []
+            for t in texts:
+                ws = WORD.findall(t)
+                numbers.append(np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws)))
                 if len(seen) > 300_000:
                     seen.clear()
-                hits, at, items = _search(numbers, phrases)
-                for k, t in enumerate(texts[lo:hi]):
-                    own = hits[at[k] : at[k + 1] - 1]
-                    n, spans = int(own.sum()), []
-                    if n:
-                        places = [m.span() for m in WORD.finditer(t)]
-                        turn = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                        spans = [(places[a][0], places[b - 1][1]) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist())]
-                    parts.append((len(own), n, sorted(map(str, items[k])), [{"start": a, "end": b} for a, b in spans], _without(t, spans) if with_clean and n else None))
-            yield batch.drop(columns="text").assign(**dict(zip(("n_words", "n_hit", "item_ids", "spans", "clean"), map(list, zip(*parts)))) if parts else {x: [] for x in ("n_words", "n_hit", "item_ids", "spans", "clean")})
+            hits, at, items = _search(numbers, phrases)
+            names = [sorted({phrases.ids[i] for i in own} - {None}) for own in items]
+            yield _with(batch, ("text",), [_judged(t, hits[at[k] : at[k + 1] - 1], names[k], with_clean) for k, t in enumerate(texts)])
         seen.clear()
         give_back()
 
@@ -213,7 +242,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row per row of docs: doc_id, columns `keep`, n_words, n_hit, item_ids, spans and, with with_clean, clean (the text without its spans; null where nothing is hit).
 
     Windows are 10 words of an item, or the whole of a shorter one; spans are merged and count characters. A null text
-    has no words, an item without words no windows. Repeated rows are scanned alike; an empty table or benchmark gives
+    has no words, an item without words no windows; an item with a null id has windows, but is not listed. Repeated rows are scanned alike; an empty table or benchmark gives
     no hits. The benchmark's size is measured: up to BLOCK_BYTES it is broadcast, beyond that documents are scanned
     block by block and the blocks' hits are merged by text.
     """
@@ -224,37 +253,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     blocks = max(1, -(-total // BLOCK_BYTES))
 
-    def phrases_of(block: int):
+    def scan(block: int, clean: bool):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.item, r.text) for r in some.collect()])
-        return lambda: Phrases(sent.value)
+        return _scan(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item, r.text) for r in some.collect()]), clean)  # about BLOCK_BYTES
 
     if blocks == 1:
-        return small_batches(rows).mapInPandas(_scan(phrases_of(0), with_clean), f"{head}, {KIND}")
+        return small_batches(rows).mapInArrow(scan(0, with_clean), f"{head}, {KIND}")
     distinct = checkpointed(rows.select(text_key(F.col("text")).alias("key"), "text").where("text is not null").dropDuplicates(["key"]))
-    found = None
-    for b in range(blocks):
-        part = small_batches(distinct).mapInPandas(_scan(phrases_of(b), False), f"key binary, {KIND}").where("n_hit > 0").select("key", "item_ids", "spans")
-        found = checkpointed(part if found is None else found.unionByName(part))
+    parts = [checkpointed(small_batches(distinct).mapInArrow(scan(b, False), f"key binary, {KIND}").where("n_hit > 0").select("key", "item_ids", "spans")) for b in range(blocks)]
+    found = functools.reduce(DataFrame.unionByName, parts)
     merged = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("all_items"), F.flatten(F.collect_list("spans")).alias("all_spans"))
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, got, spans in zip(batch["text"].fillna(""), batch["all_items"], batch["all_spans"]):
-                places, one = [m.span() for m in WORD.finditer(t)], []
-                for a, b in sorted((s["start"], s["end"]) for s in (spans if spans is not None else [])):
-                    if one and not any(one[-1][1] <= p < a for p, _ in places[int(np.searchsorted([p for p, _ in places], one[-1][1])) :][:1]):
-                        one[-1] = (one[-1][0], max(one[-1][1], b))
-                    else:
-                        one.append((a, b))
-                n = sum(any(a <= p < b for a, b in one) for p, _ in places) if one else 0
-                out.append((len(places), n, list(got) if got is not None else [], [{"start": a, "end": b} for a, b in one], _without(t, one) if with_clean and n else None))
-            made = dict(zip(("n_words", "n_hit", "item_ids", "spans", "clean"), map(list, zip(*out)))) if out else {}
-            yield batch.drop(columns=["text", "all_items", "all_spans"]).assign(**made)
+            for t, got, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "all_items", "all_spans"))):
+                t, spans = t or "", spans or []
+                places = np.array([m.span() for m in WORD.finditer(t)], np.int64).reshape(-1, 2)
+                change = np.zeros(len(places) + 1, np.int64)
+                np.add.at(change, np.searchsorted(places[:, 0], [x["start"] for x in spans]), 1)
+                np.add.at(change, np.searchsorted(places[:, 1], [x["end"] for x in spans]) + 1, -1)
+                out.append(_judged(t, np.cumsum(change)[:-1] > 0, got or [], with_clean))
+            yield _with(batch, ("text", "all_items", "all_spans"), out)
 
     joined = rows.withColumn("key", text_key(F.col("text"))).join(merged, "key", "left").drop("key")
-    return small_batches(joined).mapInPandas(finish, f"{head}, {KIND}")
+    return small_batches(joined).mapInArrow(finish, f"{head}, {KIND}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +296,7 @@ x AS (SELECT rid, sizes.n, ws, unnest(range(1, len(ws) - sizes.n + 2)) AS k FROM
 g AS (SELECT rid, n, k, list_slice(ws, k, k + n - 1) AS win FROM x),
 h AS (SELECT g.rid, g.n, g.k, w.item FROM g JOIN w ON g.n = w.n AND g.win = w.win),
 c AS (SELECT rid, count(DISTINCT k + o) AS n_hit FROM (SELECT rid, k, unnest(range(0, n)) AS o FROM h) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+t AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
