@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules as (verdict, host with path prefix).
@@ -59,22 +60,42 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(tag("h:", labels), tag("h:", parts), tag("p:", steps), tag("q:", params)))
 
 
+def _items(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, n, pure: its label where it has one only, item) of the tokens in at least `least` rows. Tokens that are in the same rows are one item, named by the first of them."""
+    row = F.xxhash64("tokens", "label").cast("decimal(38,0)")
+    each = labelled.select(F.explode("tokens").alias("token"), "label", row.alias("h")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("n") >= least)
+    first = each.groupBy("n", "h").agg(F.min("token").alias("item"))
+    return each.join(first, ["n", "h"]).select("token", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("pure"), "item")
+
+
 def mine_rules(labelled: DataFrame, params: Mining = Mining()) -> DataFrame:
     """labelled: tokens array<string>, label string. Returns rules (rule_id, tokens, anchor, label, confidence, support).
 
-    A rule whose tokens contain those of another rule with the same label and no lower confidence is pruned.
-    The anchor is the rule's rarest token; the inverted index is keyed by it.
+    Tokens that are in exactly the same labelled rows are one item, named by the first of them. A rule whose tokens
+    contain those of another rule with the same label and no lower confidence is pruned. What such a rule is certain to
+    prune is not mined at all: sets with an item that has one label only (a rule by itself), or one that is in every
+    row; so parts that long urls share don't multiply. The anchor is the rule's rarest token; the inverted index is keyed
+    by it. No rules if no row has a label.
     """
-    items = labelled.where("label is not null").select(F.array_union("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=params.min_support, minConfidence=params.min_confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("label=") & (F.size("antecedent") <= params.max_tokens)).where(~F.exists("antecedent", lambda x: x.startswith("label=")))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1000).alias("label"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    anchors = rules.select("tokens", "label", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "label").agg(F.min(F.struct("freq", "token")).alias("a"))
-    rules = rules.join(anchors.select("tokens", "label", F.col("a.token").alias("anchor")), ["tokens", "label"])
-    r, s = rules.alias("r"), rules.alias("s")
-    wider = r.join(s, F.array_contains("r.tokens", F.col("s.anchor")) & (F.col("r.label") == F.col("s.label")) & (F.size("s.tokens") < F.size("r.tokens")) & (F.col("s.confidence") >= F.col("r.confidence")) & (F.size(F.array_except("s.tokens", "r.tokens")) == 0), "left_anti")
-    return wider.withColumn("rule_id", F.concat_ws("&", "tokens"))
+    rows = labelled.where("label is not null and tokens is not null").select(F.array_distinct("tokens").alias("tokens"), "label")
+    total = rows.count()
+    items = checkpointed(_items(rows, max(1, math.ceil(params.min_support * total))))
+    own = items.where("token = item")
+    alone = own.where("pure is not null").select(F.array("item").alias("tokens"), F.col("pure").alias("label"), F.lit(1.0).alias("confidence"), (F.col("n") / max(1, total)).alias("support"))
+    mined = [r.item for r in own.where(F.col("pure").isNull() & (F.col("n") < total)).select("item").collect()]  # each in min_support of the rows, so at most (tokens of a row) / min_support of them
+    keep = F.array_intersect("tokens", F.array(*[F.lit(x) for x in mined]).cast("array<string>"))
+    sets = checkpointed(rows.withColumn("keep", keep).where(F.size("keep") > 0).select(F.array_append("keep", F.concat(F.lit("label="), "label")).alias("items")))
+    support = params.min_support * total / max(1, sets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=params.min_confidence).fit(sets)
+    found = model.associationRules.where(F.col("consequent")[0].startswith("label=") & (F.size("antecedent") <= params.max_tokens)).where(~F.exists("antecedent", lambda x: x.startswith("label=")))
+    found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1_000_000).alias("label"), "confidence", (F.col("support") * F.lit(sets.count() / max(1, total))).alias("support"))
+    rules = checkpointed(alone.unionByName(found))
+    inside = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("tokens")).cast("int") - 2), lambda m: F.filter("tokens", lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
+    narrower = rules.select("tokens", "label", F.col("confidence").alias("c"), F.explode(F.when(F.size("tokens") > 1, inside)).alias("part"))
+    wide = narrower.join(rules.select(F.col("tokens").alias("part"), "label", "confidence"), ["part", "label"]).where("confidence >= c").select("tokens", "label").distinct()
+    rules = rules.join(wide, ["tokens", "label"], "left_anti")
+    anchors = rules.select("tokens", "label", F.explode("tokens").alias("token")).join(own.select("token", "n"), "token").groupBy("tokens", "label").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
+    return rules.join(anchors, ["tokens", "label"]).withColumn("rule_id", F.concat_ws("&", "tokens"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, params: Mining = Mining()) -> DataFrame:
