@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, give_back, small_batches, table, text_key
@@ -17,8 +17,12 @@ WORD = re.compile(r"[^\W_]+")
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^24 = 0.9999.
 BANDS, ROWS = 24, 5
-#: Texts on either side of a block of comparisons.
-BLOCK = 128
+#: Texts on either side of a block of comparisons, and bytes of them; a longer text is a block of its own.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
+#: Texts that a text is compared with in a turn; comparisons a text at which turns end.
+CENTRES, CHEAP = 3, 300
+#: A bucket with more comparisons open than this is dealt anew by rare shingles.
+MANY = 64 * BLOCK * BLOCK
 GOLDEN = 0x9E3779B97F4A7C15
 MULTIPLIERS = np.array([(GOLDEN * (2 * i + 1)) % 2**64 | 1 for i in range(8)], dtype=np.uint64)
 
@@ -102,7 +106,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """docs: key, text. Returns (band, key), distinct: a row for each band of each text that has a word."""
+    """docs: key, text. Returns (band, key, size), distinct: a row for each band of each text that has a word; size is the text's length."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,30 +121,78 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 out = np.empty((len(some), BANDS), np.uint64)
                 for b in range(BANDS):
                     out[:, b] = _mix((sig[some, b * ROWS : (b + 1) * ROWS] * MULTIPLIERS[:ROWS]).sum(axis=1, dtype=np.uint64) + np.uint64(b + 1) * MULTIPLIERS[6])
-                yield pd.DataFrame({"key": part["key"].iloc[some].to_numpy(), "bands": list(out.view(np.int64))})
+                yield pd.DataFrame({"key": part["key"].iloc[some].to_numpy(), "size": part["text"].iloc[some].str.len().to_numpy(), "bands": list(out.view(np.int64))})
         _hashes.clear()
         give_back()
 
-    return small_batches(docs).mapInPandas(keys, "key binary, bands array<long>").select("key", F.explode("bands").alias("band")).dropDuplicates(["band", "key"])
+    return small_batches(docs).mapInPandas(keys, "key binary, size long, bands array<long>").select("key", "size", F.explode("bands").alias("band")).dropDuplicates(["band", "key"])
 
 
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict[str, tuple] = {}
+def _blocks(n: str, size: str) -> Column:
+    """How many blocks n texts of `size` characters in all are dealt into."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
 
-    def weighted(text: str) -> tuple:
-        if text not in seen:
-            if len(seen) > 64:
-                seen.clear()
-            seen[text] = shingles([text])[1:]
-        return seen[text]
 
-    return pd.Series([probability_jaccard(weighted(x), weighted(y)) for x, y in zip(a, b)], dtype=float)
+def _by_group(rows: DataFrame, keys: list[str], links: Callable) -> DataFrame:
+    """Links (a, b) found in groups of rows with the same keys: links(columns of the group, sets of its texts) for each group.
+
+    Groups are many and mostly small, so Python gets batches of whole groups, and the shingles of a batch's texts are
+    made at once; only a group that is larger than a batch is put together from several.
+    """
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        code, _ = pd.factorize(frame["key"])
+        at = np.unique(code, return_index=True)[1]
+        doc, h, n = shingles(frame["text"].iloc[at].tolist())
+        edge = np.searchsorted(doc, np.arange(len(at) + 1))
+        sets = [(h[lo:hi], n[lo:hi]) for lo, hi in zip(edge, edge[1:])]
+        new = np.zeros(len(frame), bool)
+        for k in keys:
+            v = frame[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), len(frame)]
+        code, columns, out = code.tolist(), {c: frame[c].tolist() for c in frame.columns if c != "text"}, []
+        for lo, hi in zip(edges, edges[1:]):
+            if hi - lo > 1:
+                out += links({c: v[lo:hi] for c, v in columns.items()}, [sets[c] for c in code[lo:hi]])
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held):
+                last = np.logical_and.reduce([held[k].to_numpy() == held[k].iloc[-1] for k in keys])
+                cut = int(np.argmax(last))
+                if cut:
+                    yield found(held.iloc[:cut])
+                    held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield found(held)
+        _hashes.clear()
+        give_back()
+
+    return small_batches(rows).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts are similar."""
-    full = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return checkpointed(small_batches(full).where(F.pandas_udf(_similarity, "double")("text_a", "text_b") >= SIMILARITY).select("a", "b"))
+    """pairs: distinct (a, b, size: of b). Those whose texts are similar.
+
+    The texts b of an a are dealt into blocks, and a's text is sent once to each of them, so an `a` may have any number of pairs.
+    """
+    counts = pairs.groupBy("a").agg(_blocks_of("size").alias("blocks"))
+    members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("i"), F.col("b").alias("key"), F.lit(False).alias("first"))
+    firsts = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("a").alias("key"), F.lit(True).alias("first"))
+
+    def links(group: dict[str, list], sets: list[tuple]) -> list[tuple]:
+        own = group["first"].index(True)
+        return [(group["key"][own], group["key"][k]) for k in range(len(sets)) if k != own and probability_jaccard(sets[own], sets[k]) >= SIMILARITY]
+
+    return checkpointed(_by_group(members.unionByName(firsts).join(texts, "key"), ["a", "i"], links))
+
+
+def _blocks_of(size: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -157,30 +209,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_buckets(shared: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """shared: band, key, size. The rows of buckets that hold several labels, with `label`; and of each bucket band, main (its most frequent label), n, few (texts of other labels), bytes, and the first and last key lo, hi."""
+    named = shared.withColumn("label", F.col("key")) if labels is None else shared.join(labels, "key", "left").select("band", "key", "size", F.coalesce("label", "key").alias("label"))
+    by_label = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    counts = by_label.groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("few"), F.sum("s").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("few > 0")
+    counts = checkpointed(counts)
+    return checkpointed(named.join(counts.drop("lo", "hi"), "band")), counts
+
+
+def _centred(open_: DataFrame, turn: int) -> DataFrame:
+    """(a, b, size of b): each text with up to CENTRES texts of its buckets, one of each, those that it shares most bands with first.
+
+    In the first turn a bucket offers the text that meets most others in all its buckets, as that one is the likeliest
+    to be similar to them; later, to texts outside its main label, one of the main label by hash.
+    """
+    if turn:
+        centre = open_.where("label = main").groupBy("band").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key"))["key"].alias("a"))
+        others = open_.where("label <> main").join(centre, "band")
+    else:
+        met = open_.groupBy("key").agg(F.sum("n").alias("met"))
+        centre = open_.select("band", "key").join(met, "key").groupBy("band").agg(F.max(F.struct("met", "key"))["key"].alias("a"))
+        others = open_.join(centre, "band").where("key <> a")
+    pairs = others.groupBy("a", F.col("key").alias("b"), "size").agg(F.count(F.lit(1)).alias("bands"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("bands"), F.xxhash64("a", F.lit(turn)), "a"))
+    return checkpointed(pairs.withColumn("at", best).where(F.col("at") <= CENTRES).select("a", "b", "size"))
+
+
 def link_texts(distinct: DataFrame) -> DataFrame:
     """distinct: key, text (rows of a key have the same text). Returns (key, label) of the texts that are similar to another one.
 
-    In each band bucket every text is compared with one centre. Where a bucket then holds several components, its texts
-    outside the main one are compared with all others of the bucket, in blocks. Pairs within a component need no
-    comparison, so a bucket of n near copies costs about n of them, and no link between components is lost.
+    In turns, each text is compared with up to CENTRES others of its buckets, and what is linked gets a label; later
+    turns leave out what has the main label of its bucket already. When another turn would not save much, the texts
+    outside the main label are compared with all others of their bucket. Pairs within a label need no comparison, so n
+    near copies cost a few times n of them, and no link between labels is lost.
     """
     bands = checkpointed(band_keys(distinct))
-    shared = checkpointed(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    shared = checkpointed(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band").drop("n"))
     texts = checkpointed(distinct.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    rank = F.struct(F.xxhash64("key", F.pmod("band", F.lit(3))).alias("r"), F.col("key").alias("c"))
-    centre = shared.groupBy("band").agg(F.min(rank)["c"].alias("c"))
-    pairs = shared.join(centre, "band").where("key <> c").select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b")).distinct()
-    links = _verified(pairs, texts)
-    labels = components(links)
-    named = shared.where("n > 2").join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-    counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("few")).where("few > 0")
-    open_ = checkpointed(named.join(counts, "band"))
-    if open_.isEmpty():
+    links = labels = met = None
+    (open_, counts), cheap, turn, before = _open_buckets(shared, None), CHEAP * texts.count(), 0, None
+    while True:
+        pairs = _centred(open_, turn)
+        found, own = _verified(pairs, texts), pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        met = own if met is None else met.unionByName(own)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        (open_, counts), turn = _open_buckets(shared, labels), turn + 1
+        left = counts.agg(F.coalesce(F.sum(F.col("few") * F.col("n")), F.lit(0))).first()[0]
+        if left <= cheap or before is not None and left > 0.7 * before:
+            break
+        before = left
+    if not left:
         return labels
-    more = checkpointed(_compare_open(open_, texts))
+    twos = counts.where("n = 2").select("lo", "hi").distinct().join(met, ["lo", "hi"], "left_anti")  # pairs that are a bucket and were not compared yet
+    twos = twos.select(F.col("lo").alias("a"), F.col("hi").alias("b")).join(texts.select(F.col("key").alias("b"), F.length("text").cast("long").alias("size")), "b")
+    open_ = open_.where("n > 2")
+    large = open_.where(F.col("few") * F.col("n") > MANY)
+    if not large.isEmpty():
+        open_ = open_.where(F.col("few") * F.col("n") <= MANY).unionByName(_by_rare_shingles(large, texts))
+    more = checkpointed(_verified(twos, texts).unionByName(_compare_open(open_, texts)))
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
+def _by_rare_shingles(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """The open texts of large buckets in other buckets, one for each of a text's rarest shingles up to 1 - SIMILARITY of its weight.
+
+    The similarity is at most the weight that either text has on shingles of both. Of a similar pair the rarest common
+    shingle therefore has less than 1 - SIMILARITY of each text's weight before it: the pair meets in that bucket.
+    """
+    texts = large.select("key", "size").distinct().join(texts, "key")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 200):
+                part = batch.iloc[lo : lo + 200]
+                doc, h, n = shingles(part["text"].tolist())
+                share = n / np.bincount(doc, n, minlength=len(part))[doc]
+                yield pd.DataFrame({"key": part["key"].to_numpy()[doc], "size": part["size"].to_numpy()[doc], "band": h.view(np.int64), "share": share})
+
+    each = checkpointed(small_batches(texts).select("key", "size", "text").mapInPandas(spread, "key binary, size long, band long, share double"))
+    before = F.coalesce(F.sum("share").over(Window.partitionBy("key").orderBy("often", "band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    often = each.groupBy("band").agg(F.count(F.lit(1)).alias("often"))
+    rare = checkpointed(each.join(often, "band").withColumn("before", before).where((F.col("before") <= 1 - SIMILARITY + 1e-6) & (F.col("often") > 1)).select("band", "key", "size"))
+    return _open_buckets(rare.select("band", "key", "size"), large.select("key", "label").distinct())[0]
+
+
 def _shared_mass(da, ha, na, a: int, db, hb, nb, b: int, slab: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
     """For texts of two lists the share of each one's shingle weight that lies on shingles of the other, by products over slabs of shared shingles."""
     shared = np.intersect1d(ha, hb)
@@ -204,35 +318,58 @@ def _shared_mass(da, ha, na, a: int, db, hb, nb, b: int, slab: int = 4_000) -> t
 
 def _compare_open(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between texts of a bucket that have different labels: those outside the bucket's main label against all, in blocks of about BLOCK by BLOCK texts."""
-    size = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    size = lambda c: _blocks(c, "bytes")
     part = lambda c: F.pmod(F.xxhash64("key"), size(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), size(c) - 1))
     few = open_.where("label <> main").select("band", part("few").alias("i"), every("n").alias("j"), "key", "label", F.lit(True).alias("few"))
     all_ = open_.select("band", every("few").alias("i"), part("n").alias("j"), "key", "label", F.lit(False).alias("few"))
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        left, right = block[block["few"]], block[~block["few"]]
-        if len(left) and len(right):
-            (da, ha, na), (db, hb, nb) = shingles(left["text"].tolist()), shingles(right["text"].tolist())
-            share_a, share_b = _shared_mass(da, ha, na, len(left), db, hb, nb, len(right))
-            # the probability Jaccard is at most the mass that either text has on shared shingles
-            maybe = (np.minimum(share_a, share_b) >= SIMILARITY) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
-            plain = (np.bincount(da, na > 1, minlength=len(left)) == 0)[:, None] & (np.bincount(db, nb > 1, minlength=len(right)) == 0)[None, :]
-            maybe &= ~plain | (1 / (1 / share_a + 1 / share_b - 1) >= SIMILARITY - 1e-3)  # without repeats it is the plain Jaccard
-            ea, eb = np.searchsorted(da, np.arange(len(left) + 1)), np.searchsorted(db, np.arange(len(right) + 1))
-            keys_a, keys_b, labels, met = left["key"].tolist(), right["key"].tolist(), right["label"].tolist(), set()
-            for r, c in zip(*(x.tolist() for x in np.nonzero(maybe))):
-                if (r, labels[c]) not in met and probability_jaccard((ha[ea[r] : ea[r + 1]], na[ea[r] : ea[r + 1]]), (hb[eb[c] : eb[c + 1]], nb[eb[c] : eb[c + 1]])) >= SIMILARITY:
-                    met.add((r, labels[c]))
-                    out.append((min(keys_a[r], keys_b[c]), max(keys_a[r], keys_b[c])))
-        return pd.DataFrame(out, columns=["a", "b"])
+    def links(group: dict[str, list], sets: list[tuple]) -> list[tuple]:
+        left, right = ([k for k, few in enumerate(group["few"]) if few is own] for own in (True, False))
+        keys, labels, met, out = group["key"], group["label"], set(), []
+        maybe = ((r, c) for r in left for c in right if labels[r] != labels[c]) if len(left) * len(right) < 64 else _candidates(left, right, labels, sets)
+        for r, c in maybe:
+            if (r, labels[c]) not in met and probability_jaccard(sets[r], sets[c]) >= SIMILARITY:
+                met.add((r, labels[c]))
+                out.append((min(keys[r], keys[c]), max(keys[r], keys[c])))
+        return out
 
-    return few.unionByName(all_).join(texts, "key").groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return _by_group(few.unionByName(all_).join(texts, "key"), ["band", "i", "j"], links).distinct()
+
+
+def _candidates(left: list[int], right: list[int], labels: list, sets: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs of texts of different labels that can be similar by the weight that they have on shared shingles."""
+
+    def flat(some: list[int]) -> tuple:
+        sizes = [len(sets[k][0]) for k in some]
+        return np.repeat(np.arange(len(some)), sizes), np.concatenate([sets[k][0] for k in some]), np.concatenate([sets[k][1] for k in some])
+
+    (da, ha, na), (db, hb, nb) = flat(left), flat(right)
+    share_a, share_b = _shared_mass(da, ha, na, len(left), db, hb, nb, len(right))
+    names = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+    number = np.array([names[x] for x in labels])
+    # the probability Jaccard is at most the mass that either text has on shared shingles
+    maybe = (np.minimum(share_a, share_b) >= SIMILARITY) & (number[left][:, None] != number[right][None, :])
+    plain = (np.bincount(da, na > 1, minlength=len(left)) == 0)[:, None] & (np.bincount(db, nb > 1, minlength=len(right)) == 0)[None, :]
+    maybe &= ~plain | (1 / (1 / share_a + 1 / share_b - 1) >= SIMILARITY - 1e-3)  # without repeats it is the plain Jaccard
+    return ((left[r], right[c]) for r, c in zip(*(x.tolist() for x in np.nonzero(maybe))))
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, text, key and others. The same rows with class_id and `first`: whether the row has the doc_id and the text that its class is named by."""
+    labels = link_texts(rows.where("text is not null").select("key", "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
+    by_text = rows.where("key is not null").groupBy("key").agg(least, F.count(F.lit(1)).alias("rows")).join(labels, "key", "left").where("rows > 1 or label is not null")
+    by_text = checkpointed(by_text.select("key", F.coalesce("label", "key").alias("label"), "least"))
+    classes = by_text.groupBy("label").agg(F.min(F.struct("least", "key")).alias("name"))
+    named = by_text.join(classes, "label").select("key", F.col("name.least.doc_id").alias("class_id"), F.col("name.key").alias("first_key"))
+    found = rows.drop("text").join(named, "key", "left")
+    single = F.col("first_key").isNull()
+    return found.withColumn("first", single | ((F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("class_id")))).withColumn("class_id", F.when(single, F.col("doc_id")).otherwise(F.col("class_id"))).withColumn("single", single)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class), n_same (rows of this text with the class's or text's least doc_id).
+    """One row per row of docs: doc_id, class_id (the least doc_id of its class).
 
     Words are runs of letters and digits, lower-cased; shingles have 5 words and their counts as weights; texts are
     linked at a probability Jaccard of 0.8 or more, and classes are what links connect. Equal texts are one class, also
@@ -241,25 +378,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     result; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
-    labels = link_texts(rows.where("text is not null").select("key", "text"))
-    ids = rows.select("doc_id", "key")
-    by_text = ids.where("key is not null").groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("m"), F.sum("n").alias("rows"))
-    by_text = by_text.join(labels, "key", "left").where("rows > 1 or label is not null").select("key", F.coalesce("label", "key").alias("label"), F.col("m.doc_id").alias("least"), F.col("m.n").alias("n_same"))
-    by_text = checkpointed(by_text)
-    classes = by_text.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = by_text.join(classes, "label").select("key", "class_id", "n_same")
-    return ids.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_same", F.lit(1)).alias("n_same"))
+    return _classed(rows).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class: the one with the least doc_id; of repeated rows with that id any one stays."""
-    found = near_duplicates(docs, doc_id, text).where("doc_id <=> class_id").select("doc_id", "n_same")
-    kept = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_kept"))
-    left = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]))
-    several = kept.where("_rows > 1")
-    if several.isEmpty():
-        return left.select(*docs.columns)
-    return left.where("_rows = 1").select(*docs.columns).unionByName(left.where("_rows > 1").select(*docs.columns).dropDuplicates([doc_id, text]))
+    """docs with one row of each class: one that has the least doc_id of the class and, if that has several texts, the first of them by key.
+
+    Of rows that repeat this doc_id and text any one stays. A row with a null text stays. Columns of any name stay as they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kept = _classed(rows.withColumn("key", text_key(F.col("text")))).where("first").select("row", "doc_id", "key", "single")
+    return kept.where("single").select("row.*").unionByName(kept.where("not single").dropDuplicates(["doc_id", "key"]).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
