@@ -6,7 +6,8 @@ v3, pid, d1, d2, d3), components (object_id, seq, child_object_id, part), items
 (resource_id, resource, matid), layers (resource_id, seq, pid), metadata (name), booleans (object_id, base_id, transform),
 operands (object_id, seq, operand_id, transform), displacements (resource_id, image, height, offset), attachments (name),
 normals and gradients (object_id, seq, x, y, z). `kind` is mesh, components, slicestack, volumetricstack, boolean or
-displacement. A rule is left out where one of its tables is. Rules on pairs of crossing triangles are not among them.
+displacement. units (unit) is asked for by none, but scales the area of rule 4005. A rule is left out where one of its
+tables is. Rules 4002 to 4008 are for objects of type model and solidsupport, 4100 for the others.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import UNIT_METRES
+from . import crossing as X
 from . import geometry as G
 from . import structure as S
+from .graphs import checkpointed
 
 LEVELS = {"minimal": 0, "standard": 1, "strict": 2, "paranoid": 3}
 Model = dict[str, DataFrame]
@@ -95,12 +99,10 @@ def boolean_cycles(m: Model) -> DataFrame:
     A round is two semi-joins over the edges that are left; there are as many rounds as the longest chain has objects.
     """
     edges = m["booleans"].select("path", "object_id", F.col("base_id").alias("ref")).unionByName(m["operands"].select("path", "object_id", F.col("operand_id").alias("ref"))).distinct()
-    n, left = -1, edges
+    n, left = -1, checkpointed(edges)
     while True:
         sources, targets = left.select("path", F.col("object_id").alias("ref")).distinct(), left.select("path", F.col("ref").alias("object_id")).distinct()
-        left = left.join(sources, ["path", "ref"], "left_semi").join(targets, ["path", "object_id"], "left_semi").select("path", "object_id", "ref")
-        if left.sparkSession.sparkContext.getCheckpointDir() is not None:
-            left = left.checkpoint()
+        left = checkpointed(left.join(sources, ["path", "ref"], "left_semi").join(targets, ["path", "object_id"], "left_semi").select("path", "object_id", "ref"))
         now = left.count()
         if now in (0, n):
             return _found(left.select("path", "object_id").distinct(), "object_id", F.lit(None))
@@ -140,22 +142,40 @@ def _unkeyed(df: DataFrame, element: str | Column) -> DataFrame:
     return _found(df.select("*", at["path"].alias("path"), at["object_id"].alias("_owner")), "_owner", element)
 
 
+def _of_types(m: Model, table: str, solid: bool) -> DataFrame:
+    """Rows of mesh objects that must be closed (model, solidsupport, and where no type is given), or of the others."""
+    is_solid = F.coalesce(F.col("type"), F.lit("model")).isin("model", "solidsupport")
+    return m[table].join(m["objects"].where(is_solid if solid else ~is_solid).select("path", "object_id"), ["path", "object_id"], "left_semi")
+
+
 def _edges(condition: str) -> Callable[[Model], DataFrame]:
-    return lambda m: _unkeyed(G.edge_counts(_keyed(m["triangles"])).where(condition), F.concat_ws("-", "lo", "hi"))
+    return lambda m: _unkeyed(G.edge_counts(_keyed(_of_types(m, "triangles", True))).where(condition), F.concat_ws("-", "lo", "hi"))
 
 
-def _thin(m: Model, least: float = 1e-6) -> DataFrame:
-    return _unkeyed(G.corners(_keyed(m["triangles"]), _keyed(m["vertices"]).drop("path")).where(G.triangle_area(G.point("a"), G.point("b"), G.point("c")) < least).drop("path"), "tid")
+def _thin(m: Model) -> DataFrame:
+    """Area under 1e-12 square metres, in the package's unit (a millimetre where m has no units)."""
+    t = G.corners(_keyed(_of_types(m, "triangles", True)), _keyed(m["vertices"]).drop("path"))
+    area = G.triangle_area(G.point("a"), G.point("b"), G.point("c"))
+    if "units" not in m:
+        return _unkeyed(t.where(area < 1e-6).drop("path"), "tid")
+    metres = F.create_map(*[x for k, v in UNIT_METRES.items() for x in (F.lit(k), F.lit(v))])
+    scale = F.coalesce(F.try_element_at(metres, F.col("unit")), F.lit(UNIT_METRES["millimeter"]))
+    return _unkeyed(t.join(m["units"].select("path", "unit"), "path", "left").where(area < 1e-12 / (scale * scale)).drop("path"), "tid")
 
 
 def _several_islands(m: Model) -> DataFrame:
-    n = S.islands(_keyed(m["triangles"])).groupBy("object_id").agg(F.count_distinct("island").alias("n"))
+    n = S.islands(_keyed(_of_types(m, "triangles", True))).groupBy("object_id").agg(F.count_distinct("island").alias("n"))
     return _unkeyed(n.where("n > 1"), "n")
 
 
+def _crossing(m: Model) -> DataFrame:
+    t = G.corners(_keyed(_of_types(m, "triangles", True)), _keyed(m["vertices"]).drop("path"))
+    n = X.self_intersections(t).groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+    return _unkeyed(n, "n")
+
+
 def _loose_types(m: Model) -> DataFrame:
-    some = m["objects"].where("type in ('support', 'solidsupport', 'surface', 'other')").select("path", "object_id")
-    n = G.edge_counts(_keyed(m["triangles"].join(some, ["path", "object_id"], "left_semi"))).where("n > 2").groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+    n = G.edge_counts(_keyed(_of_types(m, "triangles", False))).where("n <> 2").groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
     return _unkeyed(n, "n")
 
 
@@ -169,7 +189,7 @@ def _rules() -> tuple[Rule, ...]:
     bad_matrix = F.exists("transform", _not_finite)
     off_unit = ~bad_vector & (F.abs(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) - 1) > 1e-4)
     std, par = "standard", "paranoid"
-    known, mesh = ("objects", "resources"), ("triangles", "vertices")
+    known, mesh, typed = ("objects", "resources"), ("triangles", "vertices"), ("objects", "triangles")
     objects = lambda m: _ids(m["objects"], "object_id")
     return (
         Rule(2001, E, std, known, lambda m: _found(_missing(m["objects"], "pid", _all_ids(m)), "object_id", "pid")),
@@ -195,12 +215,13 @@ def _rules() -> tuple[Rule, ...]:
         Rule(3002, E, std, ("objects", "items"), lambda m: _found(_missing(m["items"], "item_object_id", objects(m)), "item_object_id", "seq")),
         Rule(3010, E, std, ("objects", "items"), lambda m: _found(_target(m["items"], "item_object_id", m["objects"]).where("_type = 'other'"), "item_object_id", "seq")),
         Rule(4001, W, par, ("triangles",), lambda m: _found(m["triangles"].where("v1 = v2 or v2 = v3 or v1 = v3"), "object_id", "tid")),
-        Rule(4002, W, par, ("triangles",), _edges("n = 1")),
-        Rule(4003, W, par, ("triangles",), _edges("n > 2")),
-        Rule(4004, W, par, ("triangles",), lambda m: _unkeyed(G.repeated_directed_edges(_keyed(m["triangles"])), F.concat_ws("-", "s", "e"))),
-        Rule(4005, W, par, mesh, _thin),
-        Rule(4006, W, par, ("triangles",), lambda m: _unkeyed(S.vertex_fans(_keyed(m["triangles"])).where("fans > 1"), "v")),
-        Rule(4007, W, par, ("triangles",), _several_islands),
+        Rule(4002, W, par, typed, _edges("n = 1")),
+        Rule(4003, W, par, typed, _edges("n > 2")),
+        Rule(4004, W, par, typed, lambda m: _unkeyed(G.repeated_directed_edges(_keyed(_of_types(m, "triangles", True))), F.concat_ws("-", "s", "e"))),
+        Rule(4005, W, par, ("objects", *mesh), _thin),
+        Rule(4006, W, par, typed, lambda m: _unkeyed(S.vertex_fans(_keyed(_of_types(m, "triangles", True))).where("fans > 1"), "v")),
+        Rule(4007, W, par, typed, _several_islands),
+        Rule(4008, W, par, ("objects", *mesh), _crossing),
         Rule(4100, I, par, ("objects", "triangles"), _loose_types),
         Rule(5001, E, std, ("displacements",), lambda m: _found(m["displacements"].where("image = ''"), "resource_id", "image")),
         Rule(5002, W, std, ("displacements", "attachments"), lambda m: _found(m["displacements"].where("image <> ''").join(m["attachments"].select("path", F.col("name").alias("image")), ["path", "image"], "left_anti"), "resource_id", "image")),

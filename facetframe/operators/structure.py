@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.vectors import matmul
-from ..llm.common import checkpointed
-from ..llm.near_dedup import components
+from .graphs import checkpointed, components
 
 MAX_DEPTH = 16
 
@@ -25,7 +24,7 @@ def resolve(items: DataFrame, components: DataFrame, max_depth: int = MAX_DEPTH)
     Returns (leaves, errors): leaves are placed objects without components, with their matrix (parent x child) and depth;
     errors are paths that meet an object again or go deeper than max_depth. One join per level, at most max_depth + 1.
     """
-    spark, leaves, errors = items.sparkSession, None, None
+    leaves = errors = None
     parents = components.select("object_id").distinct()
     step = components.select("object_id", F.col("child_object_id").alias("child"), F.col("transform").alias("move"))
     now = items.select("instance_id", "object_id", "transform", F.array("object_id").alias("path"))
@@ -40,8 +39,7 @@ def resolve(items: DataFrame, components: DataFrame, max_depth: int = MAX_DEPTH)
             break
         now = below.where(~seen).withColumn("path", F.array_append("path", F.col("object_id")))
         if depth % 4 == 3:
-            if spark.sparkContext.getCheckpointDir() is not None:
-                now = now.checkpoint()
+            now = checkpointed(now)
             if now.isEmpty():
                 break
     return leaves, errors
@@ -124,7 +122,9 @@ def box_overlaps(boxes: DataFrame, cell: float, closed: bool = True, keys: tuple
 
 
 def stitch(vertices: DataFrame, triangles: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
-    """Vertices of one grid cell become the first of them. Returns (mapping object_id, vid, kept), triangles remapped."""
+    """Vertices of one grid cell become the first of them. Returns (mapping object_id, vid, kept), triangles remapped. An epsilon of 0 or less leaves all as it is."""
+    if epsilon <= 0:
+        return vertices.select("object_id", "vid", F.col("vid").alias("kept")), triangles
     cell = [F.round(F.col(axis) * (1.0 / epsilon)).cast("long").alias(f"c{axis}") for axis in "xyz"]
     keyed = vertices.select("object_id", "vid", *cell)
     first = keyed.groupBy("object_id", "cx", "cy", "cz").agg(F.min("vid").alias("kept"))
@@ -162,17 +162,34 @@ def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFram
 def merge_offsets(ids: DataFrame, file: str, id_: str) -> DataFrame:
     """How far each file's ids move so that no two files share one: the running sum of the largest id + 1 of the files before."""
     top = ids.groupBy(file).agg((F.max(id_) + 1).alias("span"))
-    return top.withColumn("offset", F.coalesce(F.sum("span").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return running_sum(top, file, "span", "offset")
+
+
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` of all rows before them by `order` (unique). Sums within ranges of `order` meet the sums of the ranges before; no task has all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    before = lambda by, at: F.coalesce(F.sum(at).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.sum(at).over(by.rowsBetween(0, 0)) * 0)
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))  # a row for each partition
+    shift = sums.select("_part", before(Window.orderBy("_part"), "_s").alias("_shift"))
+    within = ranged.withColumn("_w", before(Window.partitionBy("_part").orderBy(order), value))
+    return within.join(F.broadcast(shift), "_part").withColumn(name, F.col("_w") + F.col("_shift")).drop("_part", "_w", "_shift")
 
 
 def compact_ids(ids: DataFrame, group: str, id_: str) -> DataFrame:
     return ids.select(group, id_, F.row_number().over(Window.partitionBy(group).orderBy(id_)).alias("new_id"))
 
 
-def grid_places(items: DataFrame, order: str, width: str, gap: float, n: int) -> DataFrame:
-    """Column, row and x offset of items in a square grid; a column is as wide as its widest item."""
+def grid_places(items: DataFrame, order: str, width: str, gap: float, n: int, height: str | None = None) -> DataFrame:
+    """Column, row and x offset (with `height`, y too) of items in a square grid; a column is as wide as its widest item, a row as high as its highest."""
     columns = max(1, int(-(-(n**0.5) // 1)))
-    seq = F.row_number().over(Window.orderBy(order)) - 1
-    cells = items.select("*", seq.alias("_s")).withColumn("col", F.col("_s") % columns).withColumn("row", F.floor(F.col("_s") / columns).cast("long")).drop("_s")
-    widths = cells.groupBy("col").agg(F.max(width).alias("w")).withColumn("x", F.coalesce(F.sum(F.col("w") + gap).over(Window.orderBy("col").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return cells.join(widths.select("col", "x"), "col")
+    cells = running_sum(items.withColumn("_one", F.lit(1)), order, "_one", "_s").withColumn("col", F.col("_s") % columns).withColumn("row", F.floor(F.col("_s") / columns).cast("long")).drop("_s", "_one")
+
+    def offsets(by: str, size: str, name: str) -> DataFrame:
+        most = cells.groupBy(by).agg((F.max(size) + gap).cast("double").alias("_w"))  # about sqrt(n) of them
+        return running_sum(most, by, "_w", name).select(by, name)
+
+    placed = cells.join(offsets("col", width, "x"), "col")
+    return placed.join(offsets("row", height, "y"), "row") if height else placed
+
+

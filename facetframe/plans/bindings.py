@@ -109,16 +109,17 @@ def component_tree(spark, sf_dir):
     return leaves.where("object_id like 's%'").select("instance_id", "object_id", F.col("transform")[12].alias("x"), F.col("transform")[13].alias("y"), V.determinant(F.col("transform")).alias("det"), "depth")
 
 
-@query(f"""WITH RECURSIVE {TRI}, few AS (SELECT * FROM tri WHERE tid < 12), e AS (SELECT object_id, tid, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT object_id, tid, v1 AS a, v2 AS b FROM few UNION ALL SELECT object_id, tid, v2, v3 FROM few UNION ALL SELECT object_id, tid, v3, v1 FROM few)),
-r AS (SELECT object_id, tid, tid AS island FROM few UNION SELECT r.object_id, f.tid, r.island FROM r JOIN e ON e.object_id = r.object_id AND e.tid = r.tid JOIN e f ON f.object_id = e.object_id AND f.lo = e.lo AND f.hi = e.hi)
-SELECT object_id, tid, min(island) AS island FROM r GROUP BY 1, 2""")
-def mesh_islands(spark, sf_dir):
-    """Islands among each object's first 12 triangles only, as its recursive SQL has them; mesh_islands_whole covers all triangles."""
-    return S.islands(triangles(spark, sf_dir).where("tid < 12"))
+def _rounds(n: int, one) -> str:
+    return ", ".join(one(k) for k in range(1, n + 1))
 
 
-@query()
-def mesh_islands_whole(spark, sf_dir):
+#: The least tid moves from triangles to edges and back; far fewer rounds than these are needed for meshes of some hundred triangles on 50 vertices.
+ISLANDS = _rounds(12, lambda k: f"m{k} AS MATERIALIZED (SELECT e.object_id, lo, hi, min(l) AS l FROM e JOIN t{k - 1} USING (object_id, tid) GROUP BY ALL), t{k} AS MATERIALIZED (SELECT e.object_id, e.tid, min(l) AS l FROM e JOIN m{k} USING (object_id, lo, hi) GROUP BY ALL)")
+
+
+@query(f"""WITH {TRI.replace("tri AS (", "tri AS MATERIALIZED (")}, e AS MATERIALIZED (SELECT object_id, tid, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT object_id, tid, v1 AS a, v2 AS b FROM tri UNION ALL SELECT object_id, tid, v2, v3 FROM tri UNION ALL SELECT object_id, tid, v3, v1 FROM tri)),
+t0 AS MATERIALIZED (SELECT object_id, tid, tid AS l FROM tri), {ISLANDS} SELECT object_id, tid, l AS island FROM t12""")
+def mesh_islands(spark, sf_dir):
     return S.islands(triangles(spark, sf_dir))
 
 
@@ -218,16 +219,13 @@ def placed_instances(spark, sf_dir):
     return p.select("instance_id", "object_id", "triangle_count", F.round("area", 2).alias("area"), F.round("volume", 1).alias("volume"), F.round("placed_min_x", 5).alias("placed_min_x"), F.round("placed_max_x", 5).alias("placed_max_x"))
 
 
-@query(f"""WITH RECURSIVE {TRI}, few AS (SELECT * FROM tri WHERE tid < 12 AND v1 <> v2 AND v2 <> v3 AND v1 <> v3), l AS (SELECT object_id, v1 AS v, v2 AS a, v3 AS b FROM few UNION SELECT object_id, v2, v3, v1 FROM few UNION SELECT object_id, v3, v1, v2 FROM few), u AS (SELECT * FROM l UNION SELECT object_id, v, b, a FROM l),
-r AS (SELECT object_id, v, a AS x, a AS y FROM u UNION SELECT r.object_id, r.v, r.x, u.b FROM r JOIN u ON u.object_id = r.object_id AND u.v = r.v AND u.a = r.y), c AS (SELECT object_id, v, x, min(y) AS least FROM r GROUP BY ALL)
-SELECT object_id, v, count(DISTINCT least)::INT AS fans FROM c GROUP BY 1, 2""")
-def vertex_fans(spark, sf_dir):
-    """Fans at the vertices of each object's first 12 triangles only, as its recursive SQL has them; vertex_fans_whole covers all triangles."""
-    return S.vertex_fans(triangles(spark, sf_dir).where("tid < 12"))
+#: Labels move along links and jump to the label's label, so that 24 rounds cover any fan on 50 vertices.
+FANS = _rounds(24, lambda k: f"n{k} AS MATERIALIZED (SELECT u.object_id, u.v, u.a, least(min(p.l), min(q.l)) AS l FROM u JOIN f{k - 1} p ON p.object_id = u.object_id AND p.v = u.v AND p.a = u.a JOIN f{k - 1} q ON q.object_id = u.object_id AND q.v = u.v AND q.a = u.b GROUP BY ALL), f{k} AS MATERIALIZED (SELECT x.object_id, x.v, x.a, least(x.l, y.l) AS l FROM n{k} x JOIN n{k} y ON y.object_id = x.object_id AND y.v = x.v AND y.a = x.l)")
 
 
-@query()
-def vertex_fans_whole(spark, sf_dir):
+@query(f"""WITH {TRI.replace("tri AS (", "tri AS MATERIALIZED (")}, g AS (SELECT * FROM tri WHERE v1 <> v2 AND v2 <> v3 AND v1 <> v3), l AS (SELECT object_id, v1 AS v, v2 AS a, v3 AS b FROM g UNION SELECT object_id, v2, v3, v1 FROM g UNION SELECT object_id, v3, v1, v2 FROM g), u AS MATERIALIZED (SELECT * FROM l UNION SELECT object_id, v, b, a FROM l),
+f0 AS MATERIALIZED (SELECT DISTINCT object_id, v, a, a AS l FROM u), {FANS} SELECT object_id, v, count(DISTINCT l)::INT AS fans FROM f24 GROUP BY 1, 2""")
+def vertex_fans(spark, sf_dir):
     return S.vertex_fans(untied(spark, sf_dir))
 
 
