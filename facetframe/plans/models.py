@@ -9,6 +9,8 @@ from ..functions.vectors import UNIT_METRES
 from ..operators import crossing as X
 from ..operators import packages as P
 from ..operators import rules
+from ..operators.graphs import checkpointed
+from ..sources import files, sinks
 from .bindings import LINE_ORDER, TRI, VERT, query, read, triangles, vertices
 
 LINE = f"line AS MATERIALIZED (SELECT l_orderkey % 25 AS path, l_orderkey AS object_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER[1:])}, l_suppkey) - 1 AS tid, l_partkey % 8 AS v1, (l_partkey * 7 + l_linenumber) % 8 AS v2, l_suppkey % 8 AS v3 FROM lineitem)"
@@ -269,3 +271,21 @@ def package_statistics(spark, sf_dir):
     return items.groupBy("path").agg(F.count(F.lit(1)).alias("instances")).join(stats.drop("instances"), "path", "left").fillna(0).select("path", "instances", "objects", "triangles", "vertices", F.round("area", 2).alias("area"))
 
 
+
+
+@query(f"""WITH {LINE}, corner AS (SELECT *, {_sql_places('v1', 'a')}, {_sql_places('v2', 'b')}, {_sql_places('v3', 'c')} FROM line), u AS (SELECT path, count(*) AS n FROM (SELECT DISTINCT path, object_id FROM line) GROUP BY 1),
+m AS (SELECT path, count(*) AS n, sum({_AREA}) AS area FROM corner GROUP BY 1) SELECT 'p' || path AS path, u.n::BIGINT AS instances, u.n::BIGINT AS objects, m.n::BIGINT AS triangles, (8 * u.n)::BIGINT AS vertices, round(area, 2) AS area FROM u JOIN m USING (path)""")
+def packages_read_back(spark, sf_dir):
+    """Orders' meshes are written as packages, one for each path, read again as files are, and measured."""
+    t = _lines(spark, sf_dir)
+    objects = t.select("path", "object_id").distinct()
+    v = objects.select("path", "object_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("vid"))
+    none = F.lit(None)
+    content = sinks.packages(
+        objects.select("path", "object_id", F.lit("model").alias("type"), none.cast("string").alias("name"), none.cast("long").alias("pid"), none.cast("long").alias("pindex")),
+        v.select("path", "object_id", "vid", *_places(F.col("vid"))), t.withColumn("pid", none.cast("long")),
+        objects.where("false").select("path", "object_id", F.lit(0).alias("seq"), F.col("object_id").alias("child_object_id"), none.cast("string").alias("transform")),
+        objects.select("path", F.col("object_id").alias("seq"), F.col("object_id").alias("item_object_id"), none.cast("string").alias("transform")),
+    )
+    rows = checkpointed(files.parse_files(content))
+    return P.geometry_stats(*files.geometry(rows)).select("path", "instances", "objects", "triangles", "vertices", F.round("area", 2).alias("area"))

@@ -1,6 +1,7 @@
 """Sources: package archives, STL and OBJ files as tables. Errors are rows, never a failed run.
 
-Every reader gives tagged rows (path, kind, object_id, seq, payload); `tables` splits them. One file is one task's work.
+Every reader gives tagged rows (path, part, kind, object_id, seq, payload); `tables` splits them, `model` and `geometry` make
+what rules and statistics take. part is the model part of a package, null for its root. One file is one task's work.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS = "path string, kind string, object_id long, seq long, payload string"
+from ..functions.vectors import parse_transform, part_path
+
+ROWS = "path string, part string, kind string, object_id long, seq long, payload string"
 
 
 def _local(tag: str) -> str:
@@ -36,20 +39,22 @@ def sniff(content: bytes, path: str) -> str:
 
 
 def stl_rows(content: bytes) -> Iterator[tuple]:
-    """Corners with the same bits are one vertex, numbered by first use."""
+    """Corners with the same bits are one vertex, numbered by first use. A facet of a text file has 3 vertices."""
     n = struct.unpack("<I", content[80:84])[0] if len(content) >= 84 else -1
-    if not content[:5].lower() == b"solid" or len(content) == 84 + 50 * n:
+    if len(content) >= 5 and content[:5].lower() != b"solid" or n >= 0 and len(content) == 84 + 50 * n:
         if n < 0 or len(content) < 84 + 50 * n:
             raise ValueError("binary STL is cut short")
         facets = np.frombuffer(content, np.dtype([("f", "<f4", 12), ("a", "<u2")]), n, 84)["f"][:, 3:].reshape(-1, 3)
         solids = [facets]
     else:
-        solids, corners = [], []
+        solids, corners, begun = [], [], 0
         for line in content.decode("utf-8", "replace").splitlines():
             word = line.split()
-            if word[:1] == ["vertex"]:
+            if word[:1] == ["facet"]:
+                begun = len(corners)
+            elif word[:1] == ["vertex"]:
                 corners.append([float(x) for x in word[1:4]])
-            elif word[:1] == ["endfacet"] and len(corners) % 3:
+            elif word[:1] == ["endfacet"] and len(corners) - begun != 3:
                 raise ValueError("a facet needs 3 vertices")
             elif word[:1] == ["endsolid"]:
                 solids.append(np.array(corners, np.float32).reshape(-1, 3))
@@ -57,7 +62,7 @@ def stl_rows(content: bytes) -> Iterator[tuple]:
         if corners:
             solids.append(np.array(corners, np.float32).reshape(-1, 3))
     for k, points in enumerate(solids, 1):
-        yield "object", k, 0, {"type": "model"}
+        yield "object", k, 0, {"type": "model", "kind": "mesh"}
         seen: dict[bytes, int] = {}
         at = [seen.setdefault(p.tobytes(), len(seen)) for p in np.ascontiguousarray(points)]
         for i, bits in enumerate(seen):
@@ -83,7 +88,7 @@ def obj_rows(content: bytes) -> Iterator[tuple]:
                 raise ValueError("face index out of range")
             groups.setdefault(now, []).extend((at[0] - 1, at[i] - 1, at[i + 1] - 1) for i in range(1, len(at) - 1))
     for k, (name, faces) in enumerate(groups.items(), 1):
-        yield "object", k, 0, {"type": "model", "name": name}
+        yield "object", k, 0, {"type": "model", "kind": "mesh", "name": name}
         seen: dict[int, int] = {}
         made = [[seen.setdefault(v, len(seen)) for v in f] for f in faces]
         for v, i in seen.items():
@@ -92,53 +97,110 @@ def obj_rows(content: bytes) -> Iterator[tuple]:
             yield "triangle", k, t, dict(zip(("v1", "v2", "v3"), f))
 
 
+#: Elements that are resources, and by the element around them the kind of row of their children.
+RESOURCES = ("basematerials", "colorgroup", "texture2d", "texture2dgroup", "compositematerials", "multiproperties", "slicestack", "volumetricstack", "displacement2d", "normvectorgroup", "disp2dgroup")
+CHILDREN = {
+    ("vertices", "vertex"): "vertex", ("triangles", "triangle"): "triangle", ("components", "component"): "component", ("basematerials", "base"): "base", ("colorgroup", "color"): "color",
+    ("texture2dgroup", "tex2coord"): "tex2coord", ("compositematerials", "composite"): "composite", ("multiproperties", "multi"): "multi", ("normvectors", "normvector"): "normal", ("gradients", "gradient"): "gradient",
+    ("slicestack", "slice"): "slice", ("slicestack", "sliceref"): "sliceref", ("volumetricstack", "layer"): "layer", ("volumetricstack", "volumetricref"): "volumetricref", ("beams", "beam"): "beam", ("beamset", "ref"): "beamref",
+    ("booleanshape", "boolean"): "operand", ("build", "item"): "item",
+}
+SHAPES = {"mesh": "mesh", "components": "components", "displacementmesh": "displacement", "booleanshape": "boolean"}
+TYPES = ("model", "support", "solidsupport", "surface", "other")
+
+
 def model_rows(source) -> Iterator[tuple]:
-    """One model part, read as a stream of elements."""
-    current, seq, seen, saw_build = None, {}, set(), False
+    """One model part, read as a stream of elements. What an element is follows from the one around it, so vertices of slices are none of the mesh."""
+    names, open_, owner, thing, seq, seen, saw_build = [], [], None, None, {}, set(), False
+
+    def new(a: dict) -> int:
+        if "id" not in a:
+            raise ValueError("a resource needs an id")
+        if int(a["id"]) in seen:
+            raise ValueError(f"duplicate id {a['id']}")
+        seen.add(int(a["id"]))
+        return int(a["id"])
+
     for event, el in ElementTree.iterparse(source, events=("start", "end")):
-        tag, a = _local(el.tag), {_local(k): v for k, v in el.attrib.items()}
+        tag = _local(el.tag)
         if event == "start":
+            a = {_local(k): v for k, v in el.attrib.items()}
+            around = names[-1] if names else None
             if tag == "model":
+                if names:
+                    raise ValueError("a model within a model")
+                if "space" in a:
+                    raise ValueError("xml:space is not allowed")
                 yield "model", None, 0, {"unit": a.get("unit", "millimeter"), "language": a.get("lang")}
-            elif tag == "object":
-                current, seq = int(a["id"]), {}
-                if current in seen:
-                    raise ValueError(f"duplicate id {current}")
-                seen.add(current)
-                yield "object", current, 0, {"type": a.get("type", "model")} | {k: a.get(k) for k in ("name", "pid", "pindex", "partnumber", "UUID")}
-            elif tag in ("vertex", "triangle", "component", "item", "base", "color"):
-                k = seq[tag] = seq.get(tag, -1) + 1
-                yield tag, current if tag in ("vertex", "triangle", "component") else None, k, a
+            elif tag == "object" and around == "resources":
+                if a.get("type", "model") not in TYPES:
+                    raise ValueError(f"object type {a['type']}")
+                owner, thing = new(a), {"type": a.get("type", "model"), "kind": "mesh", "ref_id": None} | {k: a.get(k) for k in ("name", "pid", "pindex", "partnumber", "UUID", "thumbnail")}
+                for key, kind in (("slicestackid", "slicestack"), ("volumetricstackid", "volumetricstack")):
+                    if key in a:
+                        thing |= {"kind": kind, "ref_id": a[key]}
+            elif tag in RESOURCES and around == "resources":
+                owner = new(a)
+                yield "resource", owner, 0, a | {"resource": tag}
+            elif thing is not None and around == "object" and tag in SHAPES:
+                if thing["ref_id"] is None:
+                    thing["kind"] = SHAPES[tag]
+                if tag == "booleanshape":
+                    yield "booleanshape", owner, 0, a
             elif tag == "build":
-                saw_build, current, seq = True, None, {}
-            elif tag in ("basematerials", "colorgroup", "texture2d", "texture2dgroup", "compositematerials", "multiproperties", "slicestack", "volumetricstack", "displacement2d"):
-                yield "resource", int(a["id"]), 0, a | {"resource": tag}
+                saw_build, owner = True, None
+            elif (kind := CHILDREN.get((around, tag))) and not (tag == "vertex" and "slice" in names):
+                k = seq[owner, kind] = seq.get((owner, kind), -1) + 1
+                yield kind, owner, k, a
+            names.append(tag)
+            open_.append(el)
         else:
+            names.pop()
+            open_.pop()
             if tag == "metadata":
-                yield "metadata", None, 0, {"name": a.get("name"), "value": el.text}
+                yield "metadata", owner, 0, {"name": el.get("name"), "value": el.text}
+            elif tag == "object" and thing is not None:
+                yield "object", owner, 0, thing
+                owner = thing = None
+            elif tag in RESOURCES and names[-1:] == ["resources"]:
+                owner = None
             el.clear()
+            if open_:
+                open_[-1].remove(el)
     if not saw_build:
         raise ValueError("no build element")
 
 
 def package_rows(content: bytes) -> Iterator[tuple]:
+    """Entries, relationships and all model parts, the root first; rows of other parts have a fifth field, the part's path."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         for i, n in enumerate(z.infolist()):
             yield "entry", None, i, {"name": n.filename, "size": n.file_size}
         if "_rels/.rels" not in names:
             raise ValueError("no _rels/.rels")
-        targets = []
+        if "[Content_Types].xml" in names:
+            for i, t in enumerate(ElementTree.fromstring(z.read("[Content_Types].xml"))):
+                yield "contenttype", None, i, {"rule": _local(t.tag), "for": t.get("Extension") or t.get("PartName"), "type": t.get("ContentType")}
+        targets, tickets = [], 0
         for i, r in enumerate(ElementTree.fromstring(z.read("_rels/.rels"))):
+            kind, target = r.get("Type") or "", (r.get("Target") or "").lstrip("/")
             yield "relationship", None, i, {k: r.get(k) for k in ("Id", "Type", "Target")} | {"TargetMode": r.get("TargetMode", "Internal")}
             if r.get("TargetMode") == "External":
                 raise ValueError("external relationship")
-            if (r.get("Type") or "").endswith("/3dmodel"):
-                targets.append((r.get("Target") or "").lstrip("/"))
+            if kind.endswith("/3dmodel"):
+                targets.append(target)
+            elif kind.endswith("/thumbnail") and target not in names:
+                raise ValueError(f"no thumbnail {target}")
+            tickets += kind.endswith("/printticket")
         if len(targets) != 1:
             raise ValueError(f"{len(targets)} model relationships")
-        with z.open(targets[0]) as part:
-            yield from model_rows(part)
+        if tickets > 1:
+            raise ValueError(f"{tickets} print tickets")
+        for name in [targets[0], *(n for n in names if n.lower().endswith(".model") and n != targets[0])]:
+            with z.open(name) as part:
+                for row in model_rows(part):
+                    yield row if name == targets[0] else (*row, name)
 
 
 READERS = {"package": package_rows, "stl": stl_rows, "obj": obj_rows}
@@ -154,19 +216,19 @@ def parse_files(files: DataFrame) -> DataFrame:
                 try:
                     kind = sniff(content, path)
                     for row in READERS[kind](content) if kind in READERS else [("error", None, 0, {"message": "unknown file type"})]:
-                        out.append((path, row[0], row[1], row[2], json.dumps(row[3])))
+                        out.append((path, row[4] if len(row) > 4 else None, row[0], row[1], row[2], json.dumps(row[3])))
                         if len(out) == 50_000:
                             yield _frame(out)
                             out = []
                 except Exception as e:  # noqa: BLE001  a bad file is a result
-                    out.append((path, "error", None, 0, json.dumps({"message": str(e)})))
+                    out.append((path, None, "error", None, 0, json.dumps({"message": str(e)})))
                 yield _frame(out)
 
     return files.select("path", "content").mapInPandas(parse, ROWS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["path", "kind", "object_id", "seq", "payload"])
+    made = pd.DataFrame(rows, columns=["path", "part", "kind", "object_id", "seq", "payload"])
     made["object_id"] = made["object_id"].astype("Int64")
     return made
 
@@ -175,16 +237,54 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path))
 
 
-def tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """objects, vertices, triangles, components, items and errors of tagged rows (land them as Parquet first: each table reads them again)."""
+def _split(rows: DataFrame):
     at = lambda k, t="string": F.get_json_object("payload", f"$.{k}").try_cast(t).alias(k)
-    of = lambda kind: rows.where(F.col("kind") == kind)
-    key = ["path", "object_id"]
-    return {
-        "objects": of("object").select(*key, at("type"), at("name"), at("pid", "long"), at("pindex", "long")),
+    return at, lambda *kinds: rows.where(F.col("kind").isin(*kinds))
+
+
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """objects, vertices, triangles, components, items, resources with their children, and errors of tagged rows, all with their part (land them as Parquet first: each table reads them again)."""
+    at, of = _split(rows)
+    key = ["path", "part", "object_id"]
+    target = part_path(at("path")).alias("target_part")
+    child = {name: of(name).select(*key, "seq", *[at(c) for c in columns]) for name, columns in {"base": ("name", "displaycolor"), "color": ("color",), "tex2coord": ("u", "v"), "composite": ("values",), "multi": ("pindices",), "slice": ("ztop",), "sliceref": ("slicestackid", "slicepath"), "layer": ("z", "path"), "beam": ("v1", "v2", "r1", "r2")}.items()}
+    return child | {
+        "objects": of("object").select(*key, at("type"), at("name"), at("kind"), at("pid", "long"), at("pindex", "long"), at("ref_id", "long"), at("UUID"), at("thumbnail")),
         "vertices": of("vertex").select(*key, F.col("seq").alias("vid"), *[at(c, "float") for c in "xyz"]),
-        "triangles": of("triangle").select(*key, F.col("seq").alias("tid"), *[at(c, "long") for c in ("v1", "v2", "v3", "pid")]),
-        "components": of("component").select(*key, "seq", at("objectid", "long").alias("child_object_id"), at("transform")),
-        "items": of("item").select("path", "seq", at("objectid", "long").alias("item_object_id"), at("transform"), at("printable")),
+        "triangles": of("triangle").select(*key, F.col("seq").alias("tid"), *[at(c, "long") for c in ("v1", "v2", "v3", "pid", "p1", "p2", "p3", "d1", "d2", "d3")]),
+        "components": of("component").select(*key, "seq", at("objectid", "long").alias("child_object_id"), at("transform"), target, at("UUID")),
+        "items": of("item").select("path", "part", "seq", at("objectid", "long").alias("item_object_id"), at("transform"), at("printable"), at("partnumber"), target, at("UUID")),
+        "resources": of("resource").select("path", "part", F.col("object_id").alias("resource_id"), at("resource"), at("matid", "long"), at("pids"), at("contenttype"), at("path").alias("image"), at("texid", "long"), at("zbottom", "double")),
+        "entries": of("entry").select("path", "seq", at("name"), at("size", "long")),
+        "relationships": of("relationship").select("path", "seq", *[at(c) for c in ("Id", "Type", "Target", "TargetMode")]),
+        "content_types": of("contenttype").select("path", "seq", *[at(c) for c in ("rule", "for", "type")]),
+        "metadata": of("metadata").where("object_id is null and part is null").select("path", at("name"), at("value")),
         "errors": of("error").select("path", at("message")),
     }
+
+
+def model(rows: DataFrame) -> dict[str, DataFrame]:
+    """The root part of every package as operators.rules.validate takes it."""
+    at, of = _split(rows.where("part is null"))
+    t = {k: df.where("part is null").drop("part") if "part" in df.columns else df for k, df in tables(rows).items()}
+    vectors = lambda kind: of(kind).select("path", "object_id", "seq", *[at(c, "double") for c in "xyz"])
+    matrix = parse_transform(at("transform")).alias("transform")
+    layers = t["resources"].where("resource = 'multiproperties' and pids is not null").select("path", "resource_id", F.posexplode(F.split(F.trim("pids"), r"\s+")).alias("seq", "pid")).withColumn("pid", F.col("pid").try_cast("long"))
+    return {
+        **{k: t[k] for k in ("objects", "vertices", "triangles", "items", "metadata")},
+        "components": t["components"].withColumnRenamed("target_part", "part"), "resources": t["resources"].select("path", "resource_id", "resource", "matid"), "layers": layers,
+        "booleans": of("booleanshape").select("path", "object_id", at("objectid", "long").alias("base_id"), matrix), "operands": of("operand").select("path", "object_id", "seq", at("objectid", "long").alias("operand_id"), matrix),
+        "displacements": of("resource").where(F.get_json_object("payload", "$.resource") == "displacement2d").select("path", F.col("object_id").alias("resource_id"), F.coalesce(at("path"), F.lit("")).alias("image"), at("height", "double"), F.coalesce(at("offset", "double"), F.lit(0.0)).alias("offset")),
+        "attachments": t["entries"].select("path", F.concat(F.lit("/"), "name").alias("name")), "normals": vectors("normal"), "gradients": vectors("gradient"), "units": of("model").select("path", at("unit")),
+    }
+
+
+def geometry(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """items, components, triangles, vertices of all parts as operators.packages.geometry_stats takes them: an object's id has its part in front, so references meet across parts. Items with printable 0 or false are left out."""
+    t = tables(rows)
+    own, to = (lambda c: F.concat_ws("#", F.coalesce("part", F.lit("")), F.col(c).cast("string"))), lambda c: F.concat_ws("#", F.coalesce("target_part", "part", F.lit("")), F.col(c).cast("string"))
+    printable = ~F.coalesce(F.lower("printable").isin("0", "false"), F.lit(False))
+    items = t["items"].where(F.col("part").isNull() & printable).select("path", "seq", to("item_object_id").alias("object_id"), parse_transform(F.col("transform")).alias("transform"))
+    components = t["components"].select("path", own("object_id").alias("object_id"), to("child_object_id").alias("child_object_id"), parse_transform(F.col("transform")).alias("transform"))
+    mesh = lambda name: t[name].withColumn("object_id", own("object_id")).drop("part")
+    return items, components, mesh("triangles"), mesh("vertices")

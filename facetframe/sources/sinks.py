@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from xml.sax.saxutils import quoteattr
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.vectors import face_normal, point
+from ..operators.structure import running_sum
 
 
 def stl_text(corners: DataFrame) -> DataFrame:
@@ -22,10 +25,29 @@ def stl_text(corners: DataFrame) -> DataFrame:
     return corners.select("object_id", "tid", text.alias("value"))
 
 
+def stl_lines(corners: DataFrame) -> DataFrame:
+    """corners as for stl_text. Rows (object_id, tid, value) of complete text files, one solid an object: first and last line have tid -1 and the largest long."""
+    edge = lambda word, tid: corners.select("object_id").distinct().select("object_id", F.lit(tid).cast("long").alias("tid"), F.concat(F.lit(f"{word} object"), F.col("object_id").cast("string")).alias("value"))
+    return edge("solid", -1).unionByName(stl_text(corners).withColumn("tid", F.col("tid").cast("long"))).unionByName(edge("endsolid", 2**63 - 1))
+
+
+def stl_binary(corners: DataFrame) -> DataFrame:
+    """corners: path, tid, ax .. cz in world coordinates. (path, content): a binary file for each path, facets by tid, normals zero; a file is one task's work."""
+    order = [f"{p}{axis}" for p in "abc" for axis in "xyz"]
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tid", kind="stable")
+        facets = np.zeros(len(pdf), np.dtype([("f", "<f4", 12), ("a", "<u2")]))
+        facets["f"][:, 3:] = pdf[order].to_numpy(np.float32)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [bytes(80) + struct.pack("<I", len(pdf)) + facets.tobytes()]})
+
+    return corners.select("path", "tid", *order).groupBy("path").applyInPandas(build, "path string, content binary")
+
+
 def obj_text(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Rows (object_id, part, seq, value) of one OBJ file: write them sorted by part, object and seq. Vertex numbers run on over all objects."""
     size = vertices.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
-    shift = size.select("object_id", F.coalesce(F.sum("n").over(Window.orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    shift = running_sum(size, "object_id", "n", "shift").select("object_id", "shift")
     v = vertices.select("object_id", F.lit(0).alias("part"), F.col("vid").alias("seq"), F.format_string("v %.6f %.6f %.6f", *[F.col(a).cast("double") for a in "xyz"]).alias("value"))
     at = lambda c: (F.col(c) + F.col("shift") + 1).cast("long")
     f = triangles.join(shift, "object_id").select("object_id", F.lit(1).alias("part"), F.col("tid").alias("seq"), F.format_string("f %d %d %d", at("v1"), at("v2"), at("v3")).alias("value"))
@@ -48,7 +70,7 @@ def packages(objects: DataFrame, vertices: DataFrame, triangles: DataFrame, comp
     rows = (
         row(objects, 0, "object_id", "object_id", F.concat(F.lit("<object"), attribute("id", "object_id"), attribute("type", "type"), attribute("pid", "pid"), attribute("pindex", "pindex"), name, F.lit(">")))
         .unionByName(row(vertices, 1, "object_id", "vid", F.concat(F.lit("<vertex"), *[attribute(a, a) for a in "xyz"], F.lit("/>"))))
-        .unionByName(row(triangles, 2, "object_id", "tid", F.concat(F.lit("<triangle"), *[attribute(a, a) for a in ("v1", "v2", "v3", "pid")], F.lit("/>"))))
+        .unionByName(row(triangles, 2, "object_id", "tid", F.concat(F.lit("<triangle"), *[attribute(a, a) for a in ("v1", "v2", "v3", "pid", "p1", "p2", "p3") if a in triangles.columns], F.lit("/>"))))
         .unionByName(row(components, 3, "object_id", "seq", F.concat(F.lit("<component"), attribute("objectid", "child_object_id"), attribute("transform", "transform"), F.lit("/>"))))
         .unionByName(row(items.withColumn("_last", F.lit(2**62)), 4, "_last", "seq", F.concat(F.lit("<item"), attribute("objectid", "item_object_id"), attribute("transform", "transform"), F.lit("/>"))))
     )
