@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ..functions.vectors import cross, dot, minus
-
-#: Squared normal under which a triangle is degenerate, distance to a plane that counts as on it, overlap that counts.
-FLAT, NEAR, ON, SLACK = 1e-12, 1e-6, 1e-7, 1e-6
+#: Squared normal under which a triangle is degenerate, distance at which a corner is on a plane, overlap that counts.
+FLAT, ON, SLACK = 1e-12, 1e-7, 1e-6
 CORNERS = [f"{p}{axis}" for p in "abc" for axis in "xyz"]
 
 
@@ -52,36 +53,36 @@ def box_pairs(boxes: DataFrame, keys: tuple[str, ...], id_: str = "id", closed:
     return pairs.select(*keys, F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
 
 
-def _interval(points, d, along: int):
-    """Where a triangle crosses the other one's plane, as least and greatest coordinate; null where it does so in less than two places."""
-    at, n = [], F.lit(0)
-    for i, j in ((0, 1), (1, 2), (2, 0)):
-        a, b, da, db = points[i], points[j], d[i], d[j]
-        turns = (da >= 0) != (db >= 0)
-        here = turns | (F.abs(da) < ON)
-        at.append(F.when(turns, a[along] + (b[along] - a[along]) * (da / (da - db))).when(F.abs(da) < ON, a[along]))
-        n = n + here.cast("int")
-    return F.when(n >= 2, F.least(*at)), F.when(n >= 2, F.greatest(*at))
-
-
-def _apart(d) -> Column:
-    far = [F.abs(x) > NEAR for x in d]
-    return far[0] & far[1] & far[2] & (((d[0] > 0) & (d[1] > 0) & (d[2] > 0)) | ((d[0] < 0) & (d[1] < 0) & (d[2] < 0)))
+def _interval(points: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where triangles cross the other ones' planes. points: coordinates (n, 3 corners) along the common line, d: distances of the corners to the plane. Least and greatest coordinate; NaN where it is less than two places."""
+    at = np.full(points.shape, np.nan)
+    for k, (i, j) in enumerate(((0, 1), (1, 2), (2, 0))):
+        turns = (d[:, i] >= 0) != (d[:, j] >= 0)
+        way = d[:, i] / np.where(turns, d[:, i] - d[:, j], 1)
+        at[:, k] = np.where(turns, points[:, i] + (points[:, j] - points[:, i]) * way, np.where(np.abs(d[:, i]) < ON, points[:, i], np.nan))
+    few = (~np.isnan(at)).sum(axis=1) < 2
+    lo, hi = np.where(np.isnan(at), np.inf, at).min(axis=1), np.where(np.isnan(at), -np.inf, at).max(axis=1)
+    return np.where(few, np.nan, lo), np.where(few, np.nan, hi)
 
 
-def triangles_cross(p, q) -> Column:
-    """Whether two triangles, each three points of three columns, cross: not if one is degenerate or lies on one side of the other, else if their intervals on the common line overlap."""
-    n1, n2 = cross(minus(p[1], p[0]), minus(p[2], p[0])), cross(minus(q[1], q[0]), minus(q[2], q[0]))
-    du, dv = [dot(n2, x) - dot(n2, q[0]) for x in p], [dot(n1, x) - dot(n1, p[0]) for x in q]
-    line = [F.abs(x) for x in cross(n1, n2)]
-    same_side = lambda d: ((d[0] > 0) & (d[1] > 0) & (d[2] > 0)) | ((d[0] < 0) & (d[1] < 0) & (d[2] < 0))
+def triangles_cross(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which triangles p (n, 3 corners, 3) cross those of q: not if one is degenerate or lies on one side of the other, else if their intervals on the common line overlap."""
+    n1, n2 = (np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) for t in (p, q))
+    du = np.einsum("nx,nkx->nk", n2, p) - np.einsum("nx,nx->n", n2, q[:, 0])[:, None]
+    dv = np.einsum("nx,nkx->nk", n1, q) - np.einsum("nx,nx->n", n1, p[:, 0])[:, None]
+    line = np.abs(np.cross(n1, n2))
+    axis = np.where((line[:, 0] > line[:, 1]) & (line[:, 0] > line[:, 2]), 0, np.where(line[:, 1] > line[:, 2], 1, 2))
+    along = lambda t: np.take_along_axis(t, axis[:, None, None], axis=2)[:, :, 0]
+    apart = lambda d: (d > 0).all(axis=1) | (d < 0).all(axis=1)
+    flat = ((n1 * n1).sum(axis=1) < FLAT) | ((n2 * n2).sum(axis=1) < FLAT)
+    (lo1, hi1), (lo2, hi2) = _interval(along(p), du), _interval(along(q), dv)
+    return ~flat & ~apart(du) & ~apart(dv) & (lo1 + SLACK < hi2) & (lo2 + SLACK < hi1)
 
-    def overlap(axis: int) -> Column:
-        (lo1, hi1), (lo2, hi2) = _interval(p, du, axis), _interval(q, dv, axis)
-        return (lo1 + SLACK < hi2) & (lo2 + SLACK < hi1)
 
-    met = F.when((line[0] > line[1]) & (line[0] > line[2]), overlap(0)).when(line[1] > line[2], overlap(1)).otherwise(overlap(2))
-    return F.coalesce((dot(n1, n1) >= FLAT) & (dot(n2, n2) >= FLAT) & ~_apart(du) & ~_apart(dv) & ~same_side(du) & ~same_side(dv) & met, F.lit(False))
+@F.pandas_udf(BooleanType())
+def _cross(corners: pd.DataFrame) -> pd.Series:
+    both = corners.to_numpy(float).reshape(len(corners), 2, 3, 3)
+    return pd.Series(triangles_cross(both[:, 0], both[:, 1]))
 
 
 def self_intersections(corners: DataFrame) -> DataFrame:
@@ -90,6 +91,5 @@ def self_intersections(corners: DataFrame) -> DataFrame:
     pairs = box_pairs(_box(one), ("object_id",), "tid")
     for side in ("a", "b"):
         pairs = pairs.join(one.select("object_id", F.col("tid").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("v1", "v2", "v3", *CORNERS)]), ["object_id", f"{side}_id"])
-    points = lambda side: [tuple(F.col(f"{side}_{p}{axis}") for axis in "xyz") for p in "abc"]
     shared = sum(((F.col(f"a_v{i}") == F.col(f"b_v{j}")).cast("int") for i in (1, 2, 3) for j in (1, 2, 3)), F.lit(0))
-    return pairs.where((shared < 2) & triangles_cross(points("a"), points("b"))).select("object_id", F.col("a_id").alias("a_tid"), F.col("b_id").alias("b_tid"))
+    return pairs.where(shared < 2).where(_cross(F.struct(*[f"{side}_{c}" for side in "ab" for c in CORNERS]))).select("object_id", F.col("a_id").alias("a_tid"), F.col("b_id").alias("b_tid"))

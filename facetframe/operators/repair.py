@@ -1,4 +1,4 @@
-"""Repair of meshes object by object: winding and holes. One group is one mesh object, which a reader builds from one file part."""
+"""Repair of meshes: winding and holes. Islands whose windings fit together are turned by labels with a parity, of any size; what is left for one group is the part of an object that has no such winding."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .graphs import checkpointed, signed_components
 
 EDGES = ((0, 1), (1, 2), (2, 0))
 
@@ -17,10 +20,33 @@ def _schema(triangles: DataFrame, extra: str) -> str:
 def harmonize(triangles: DataFrame) -> DataFrame:
     """object_id, tid, v1, v2, v3, flipped: each island gets the winding of its least tid.
 
-    Breadth first from the least triangle not yet met; one that runs along a shared edge in the same direction is turned
-    (v2 and v3 change places). An edge is followed once, by the first triangle that reaches it.
+    Two triangles at an edge that run along it in the same direction must differ, others agree. Islands with two
+    triangles at most at an edge and no contradiction follow from that. In the others windings can't fit; there a walk
+    from the least triangle, breadth first, decides: one that runs along a shared edge in the same direction is turned
+    (v2 and v3 change places), and an edge is followed once, by the first triangle that reaches it. Only these islands
+    are gathered, object by object.
     """
-
+    t = checkpointed(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
+    key = F.struct("object_id", "tid")
+    ends = F.array(*[F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi"), (F.col(p) < F.col(q)).alias("up")) for p, q in (("v1", "v2"), ("v2", "v3"), ("v3", "v1"))])
+    sides = checkpointed(t.select("object_id", key.alias("key"), F.explode(ends).alias("e")).select("object_id", "key", "e.lo", "e.hi", "e.up"))
+    edges = sides.groupBy("object_id", "lo", "hi").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min_by("up", "key").alias("p"), F.max_by("up", "key").alias("q"), F.count(F.lit(1)).alias("n"))
+    edges = checkpointed(edges)
+    links = edges.where("a <> b").select("a", "b", (F.col("p") == F.col("q")).cast("int").alias("odd"))
+    crowded = sides.join(edges.where("n > 2").select("object_id", "lo", "hi", "a"), ["object_id", "lo", "hi"]).where("key <> a")
+    links = links.unionByName(crowded.select("a", F.col("key").alias("b"), F.lit(0).alias("odd"))).dropDuplicates(["a", "b", "odd"])
+    labels, conflicts = signed_components(links)
+    labels = checkpointed(labels)
+    crowded_labels = edges.where("n > 2").select(F.col("a").alias("key")).distinct().join(labels, "key").select("label")
+    repeated = t.where("v1 = v2 or v2 = v3 or v1 = v3").select(key.alias("key")).join(labels, "key").select("label")
+    by_walk = checkpointed(conflicts.unionByName(crowded_labels).unionByName(repeated).distinct().withColumn("walk", F.lit(True)))
+    named = t.withColumn("key", key).join(labels, "key", "left").join(by_walk, "label", "left")
+    turned = F.coalesce(F.col("odd") == 1, F.lit(False))
+    plain = named.where("walk is null").select("object_id", "tid", "v1", F.when(turned, F.col("v3")).otherwise(F.col("v2")).alias("v2"), F.when(turned, F.col("v2")).otherwise(F.col("v3")).alias("v3"), turned.alias("flipped"))
+    return plain.unionByName(_walked(named.where("walk").select("object_id", "tid", "v1", "v2", "v3")))
+
+
+def _walked(triangles: DataFrame) -> DataFrame:
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tid").reset_index(drop=True)
         faces, at = pdf[["v1", "v2", "v3"]].to_numpy().tolist(), {}
