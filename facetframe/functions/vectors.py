@@ -100,3 +100,13 @@ def part_path(path: Column) -> Column:
     """Canonical part path: null for the root part under any of its names."""
     p = F.regexp_replace(F.coalesce(path, F.lit("")), "^/+", "")
     return F.when(p.isin("", "ROOT") | (F.lower(p) == "3d/3dmodel.model"), F.lit(None).cast("string")).otherwise(p)
+
+
+def part_subtype(text: Column) -> Column:
+    """The kind of a part of a print: one of the known ones, else 'other'."""
+    return F.when(text.isin("normal_part", "modifier_part", "support_blocker", "support_enforcer"), text).otherwise(F.lit("other"))
+
+
+def shared_vertices(a, b) -> Column:
+    """How many pairs of equal vertices two triangles (three columns each) have."""
+    return sum(((x == y).cast("int") for x in a for y in b), F.lit(0))

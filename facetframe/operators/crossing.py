@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..functions.vectors import shared_vertices
+
 #: Squared normal under which a triangle is degenerate, distance at which a corner is on a plane, overlap that counts.
 FLAT, ON, SLACK = 1e-12, 1e-7, 1e-6
 CORNERS = [f"{p}{axis}" for p in "abc" for axis in "xyz"]
@@ -91,5 +93,5 @@ def self_intersections(corners: DataFrame) -> DataFrame:
     pairs = box_pairs(_box(one), ("object_id",), "tid")
     for side in ("a", "b"):
         pairs = pairs.join(one.select("object_id", F.col("tid").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("v1", "v2", "v3", *CORNERS)]), ["object_id", f"{side}_id"])
-    shared = sum(((F.col(f"a_v{i}") == F.col(f"b_v{j}")).cast("int") for i in (1, 2, 3) for j in (1, 2, 3)), F.lit(0))
+    shared = shared_vertices(*[[F.col(f"{side}_v{i}") for i in (1, 2, 3)] for side in "ab"])
     return pairs.where(shared < 2).where(_cross(F.struct(*[f"{side}_{c}" for side in "ab" for c in CORNERS]))).select("object_id", F.col("a_id").alias("a_tid"), F.col("b_id").alias("b_tid"))

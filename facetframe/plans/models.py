@@ -10,7 +10,7 @@ from ..operators import crossing as X
 from ..operators import packages as P
 from ..operators import rules
 from ..operators.graphs import checkpointed
-from ..sources import files, sinks
+from ..sources import files, sinks, vendor
 from .bindings import LINE_ORDER, TRI, VERT, query, read, triangles, vertices
 
 LINE = f"line AS MATERIALIZED (SELECT l_orderkey % 25 AS path, l_orderkey AS object_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER[1:])}, l_suppkey) - 1 AS tid, l_partkey % 8 AS v1, (l_partkey * 7 + l_linenumber) % 8 AS v2, l_suppkey % 8 AS v3 FROM lineitem)"
@@ -289,3 +289,21 @@ def packages_read_back(spark, sf_dir):
     )
     rows = checkpointed(files.parse_files(content))
     return P.geometry_stats(*files.geometry(rows)).select("path", "instances", "objects", "triangles", "vertices", F.round("area", 2).alias("area"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 5000 AS s, o_orderpriority AS w FROM orders), t AS (SELECT o_custkey AS c, sum(s)::BIGINT AS seconds, min(o_orderkey) AS first FROM o GROUP BY 1), u AS (SELECT c, count(*) AS filaments, sum(l_linenumber) AS grams FROM t JOIN lineitem ON l_orderkey = first GROUP BY 1)
+SELECT 'c' || c AS path, seconds, (SELECT count(*) FROM o WHERE o_custkey = c AND w LIKE '1%')::BIGINT AS warnings, coalesce(filaments, 0)::BIGINT AS filaments, coalesce(grams, 0)::DOUBLE AS grams, 'Slicer-1.' || c AS slicer_version FROM t LEFT JOIN u USING (c)""")
+def slicer_files(spark, sf_dir):
+    """Customers' orders are written as a slicer's settings inside packages, read again, and summed up."""
+    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(F.concat(F.lit('<filament id="1" used_g="'), F.col("l_linenumber"), F.lit('"/>'))), "").alias("f"))
+    o = read(spark, sf_dir, "orders").join(line, "o_orderkey", "left")
+    warning = F.when(F.col("o_orderpriority").like("1%"), '<warning msg="late"/>').otherwise("")
+    plate = F.concat(F.lit('<plate><metadata key="prediction" value="'), F.col("o_orderkey") % 5000, F.lit('"/>'), F.coalesce("f", F.lit("")), warning, F.lit("</plate>"))
+    body = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", plate.alias("p")))), lambda x: x["p"]), "").alias("plates"))
+    head = F.concat(F.lit(f'<config><header><header_item key="{vendor.CLIENT_TYPE}" value="Sli cer"/><header_item key="{vendor.CLIENT_VERSION}" value="1.'), F.col("o_custkey"), F.lit('"/></header>'))
+    settings = body.select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.lit(vendor.SLICE_INFO).alias("name"), F.concat(head, "plates", F.lit("</config>")).alias("text"))
+    fixed = [("[Content_Types].xml", sinks.TYPES), ("_rels/.rels", sinks.RELS), ("3D/3dmodel.model", f'<model xmlns="{sinks.CORE}"><resources/><build/></model>')]
+    more = settings.select("path", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("text")) for n, x in fixed])).alias("e")).select("path", "e.*")
+    content = sinks.archives(settings.unionByName(more).select("path", "name", F.col("text").cast("binary").alias("content")))
+    rows = checkpointed(files.parse_files(content))
+    return P.slicer_stats(*vendor.slicer_tables(rows)).withColumn("warnings", F.size("warnings").cast("long")).join(vendor.slicer_versions(rows), "path", "left")

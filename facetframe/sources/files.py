@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import parse_transform, part_path
+from .vendor import vendor_rows
 
 ROWS = "path string, part string, kind string, object_id long, seq long, payload string"
 
@@ -31,8 +32,8 @@ def sniff(content: bytes, path: str) -> str:
     head = content[:6].lstrip().lower()
     if content[:4] == b"PK\x03\x04":
         return "package"
-    if path.lower().endswith(".obj"):
-        return "obj"
+    if path.lower().endswith((".obj", ".mtl")):
+        return path[-3:].lower()
     if head.startswith(b"solid") or path.lower().endswith(".stl"):
         return "stl"
     return "unknown"
@@ -72,8 +73,8 @@ def stl_rows(content: bytes) -> Iterator[tuple]:
 
 
 def obj_rows(content: bytes) -> Iterator[tuple]:
-    """Groups become objects with vertices of their own; faces are fans."""
-    points, groups, now = [], {}, "default"
+    """Groups become objects with vertices of their own; faces are fans and keep the material in use."""
+    points, groups, now, material, libraries = [], {}, "default", None, 0
     for line in content.decode("utf-8", "replace").splitlines():
         word = line.split()
         if not word:
@@ -82,19 +83,37 @@ def obj_rows(content: bytes) -> Iterator[tuple]:
             points.append([float(x) for x in word[1:4]])
         elif word[0] in ("g", "o"):
             now = " ".join(word[1:]) or "default"
+        elif word[0] == "usemtl":
+            material = " ".join(word[1:]) or None
+        elif word[0] == "mtllib":
+            yield "mtllib", None, libraries, {"name": " ".join(word[1:])}
+            libraries += 1
         elif word[0] == "f" and len(word) > 3:
             at = [int(x.split("/")[0]) for x in word[1:]]
             if min(at) < 1 or max(at) > len(points):
                 raise ValueError("face index out of range")
-            groups.setdefault(now, []).extend((at[0] - 1, at[i] - 1, at[i + 1] - 1) for i in range(1, len(at) - 1))
+            groups.setdefault(now, []).extend((at[0] - 1, at[i] - 1, at[i + 1] - 1, material) for i in range(1, len(at) - 1))
     for k, (name, faces) in enumerate(groups.items(), 1):
         yield "object", k, 0, {"type": "model", "kind": "mesh", "name": name}
         seen: dict[int, int] = {}
-        made = [[seen.setdefault(v, len(seen)) for v in f] for f in faces]
+        made = [[seen.setdefault(v, len(seen)) for v in f[:3]] for f in faces]
         for v, i in seen.items():
             yield "vertex", k, i, dict(zip("xyz", points[v]))
-        for t, f in enumerate(made):
-            yield "triangle", k, t, dict(zip(("v1", "v2", "v3"), f))
+        for t, (f, face) in enumerate(zip(made, faces)):
+            yield "triangle", k, t, dict(zip(("v1", "v2", "v3"), f)) | ({"material": face[3]} if face[3] else {})
+
+
+def mtl_rows(content: bytes) -> Iterator[tuple]:
+    """Materials with their diffuse colour, grey where none is given; textures are left out."""
+    found: list[dict] = []
+    for line in content.decode("utf-8", "replace").splitlines():
+        word = line.split()
+        if word[:1] == ["newmtl"]:
+            found.append({"name": " ".join(word[1:]), "color": "#808080FF"})
+        elif word[:1] == ["Kd"] and found and len(word) > 3:
+            found[-1]["color"] = "#" + "".join(f"{int(min(1.0, max(0.0, float(x))) * 255 + 0.5):02X}" for x in word[1:4]) + "FF"
+    for i, m in enumerate(found):
+        yield "material", None, i, m
 
 
 #: Elements that are resources, and by the element around them the kind of row of their children.
@@ -201,9 +220,10 @@ def package_rows(content: bytes) -> Iterator[tuple]:
             with z.open(name) as part:
                 for row in model_rows(part):
                     yield row if name == targets[0] else (*row, name)
+        yield from vendor_rows(z, names)
 
 
-READERS = {"package": package_rows, "stl": stl_rows, "obj": obj_rows}
+READERS = {"package": package_rows, "stl": stl_rows, "obj": obj_rows, "mtl": mtl_rows}
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
@@ -62,6 +64,34 @@ TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.open
 RELS = f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rel0" Type="{MODEL_TYPE}" Target="/3D/3dmodel.model"/></Relationships>'
 
 
+def archives(entries: DataFrame) -> DataFrame:
+    """entries: path, name, content binary. (path, content): an archive for each path, entries by name, those of a name once. What was read from a package can be written again so, attachments and all."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [out.getvalue()]})
+
+    once = entries.groupBy("path", "name").agg(F.min("content").alias("content"))
+    return once.groupBy("path").applyInPandas(lambda pdf: build(pdf.sort_values("name")), "path string, content binary")
+
+
+def entries(packages: DataFrame, wanted: str = ".*") -> DataFrame:
+    """packages: path, content. (path, name, content) of the entries whose whole name fits the pattern."""
+    fits = re.compile(wanted)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    found = [(path, n, z.read(n)) for n in z.namelist() if fits.fullmatch(n)]
+                yield pd.DataFrame(found, columns=["path", "name", "content"])
+
+    return packages.select("path", "content").mapInPandas(read, "path string, name string, content binary")
+
+
 def packages(objects: DataFrame, vertices: DataFrame, triangles: DataFrame, components: DataFrame, items: DataFrame, unit: str = "millimeter") -> DataFrame:
     """(path, content): an archive for each path. Tables as `sources.files.tables` gives them; rows become elements in Spark, a task only strings them together."""
     attribute = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.lit(""))

@@ -5,9 +5,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from facetframe.functions.vectors import part_subtype
 from facetframe.operators import crossing, graphs, packages, repair, rules, structure
 from facetframe.plans import bindings, models
-from facetframe.sources import files, sinks
+from facetframe.sources import files, sinks, vendor
 
 SF = "/root/testdata/sf0.001"
 MESH = '<mesh><vertices><vertex x="0" y="0" z="0"/><vertex x="1" y="0" z="0"/><vertex x="0" y="1" z="0"/><vertex x="0" y="0" z="1"/></vertices><triangles><triangle v1="0" v2="2" v3="1" pid="5" p1="0"/><triangle v1="0" v2="1" v3="3"/><triangle v1="1" v2="2" v3="3"/><triangle v1="2" v2="0" v3="3"/></triangles></mesh>'
@@ -57,6 +58,39 @@ def test_statistics_across_parts(rows):
     assert (r.instances, r.objects, r.triangles, r.vertices) == (2, 2, 8, 8) and abs(r.area - 5 * one) < 1e-6 and abs(abs(r.volume) - 9 / 6) < 1e-6
 
 
+def test_settings_of_slicers(spark):
+    extra = [
+        (vendor.SLICE_INFO, '<config><header><header_item key="X-BBL-Client-Version" value="2.1"/></header><plate><metadata key="prediction" value="61"/><filament id="1" used_g="2.5" type="PLA"/><warning msg="w"/></plate><plate><metadata key="prediction" value="9"/><filament id="2" used_g="7"/></plate></config>'),
+        (vendor.MODEL_SETTINGS, '<config><object id="4"><metadata key="name" value="Gear"/><metadata face_count="12"/><part id="1" subtype="odd"><metadata key="k" value="v"/></part></object><plate><metadata key="plater_id" value="1"/><model_instance><metadata key="object_id" value="4"/></model_instance></plate></config>'),
+        (vendor.PROJECT_SETTINGS, '{"bed_type": "a", "curr_bed_type": "b", "machine_start_gcode": "G1", "nozzle_diameter": ["0.4"]}'),
+        ("Metadata/machine_settings_3.config", '{"name": "M", "inherits": "Base"}'), ("Metadata/machine_settings_16.config", "{}"), ("Metadata/process_settings_1.config", "no json"),
+    ]
+    rows = files.parse_files(spark.createDataFrame([("a", bytearray(package(extra)))], "path string, content binary")).cache()
+    r = packages.slicer_stats(*vendor.slicer_tables(rows)).collect()[0]
+    assert (r.seconds, r.warnings, r.filaments, r.grams) == (70, ["w"], 1, 2.5)
+    assert vendor.slicer_versions(rows).collect()[0].slicer_version == "BambuStudio-2.1" and vendor.printer_models(rows).collect()[0].printer_model == "Base"
+    assert [(x.plate, x.object_id, x.name) for x in vendor.plate_objects(rows).collect()] == [(0, 4, "Gear")]
+    project = rows.where("kind = 'projectsettings'").select(F.get_json_object("payload", "$.bed_type").alias("b"), F.get_json_object("payload", "$.machine_start_gcode").alias("g")).collect()[0]
+    assert (project.b, project.g) == ("b", None) and rows.where("kind = 'profile'").count() == 1
+    assert rows.where("kind = 'settingspart'").select(part_subtype(F.get_json_object("payload", "$.subtype")).alias("s")).collect()[0].s == "other"
+
+
+def test_materials_of_obj_files(spark):
+    obj = "mtllib m.mtl\nv 0 0 0\nv 1 0 0\nv 0 1 0\nv 1 1 0\nusemtl red\nf 1 2 3\nusemtl none\nf 1 2 4\ng other\nusemtl red\nf 2 3 4\nf 1 2\n"
+    mtl = "newmtl red\nKd 1.5 0 0.5\nnewmtl grey\nmap_Kd x.png\n"
+    rows = files.parse_files(spark.createDataFrame([("d/a.obj", bytearray(obj, "utf-8")), ("d/m.mtl", bytearray(mtl, "utf-8")), ("e/b.obj", bytearray(obj.replace("f 1 2 3", "f -1 2 3"), "utf-8"))], "path string, content binary")).cache()
+    got = sorted((r.object_id, r.tid, r.material, r.color, r.material_index) for r in vendor.used_materials(rows).where("path = 'd/a.obj'").collect())
+    assert got == [(1, 0, "red", "#FF0080FF", 0), (1, 1, "none", None, 1), (2, 0, "red", "#FF0080FF", 0)]
+    assert [(r.path, r.kind) for r in rows.where("kind = 'error'").collect()] == [("e/b.obj", "error")]
+
+
+def test_archives_are_copied_whole(spark):
+    one = spark.createDataFrame([("a", bytearray(package([("Metadata/x.bin", "bytes")])))], "path string, content binary")
+    again = sinks.archives(sinks.entries(one))
+    read = lambda df: sorted((r.path, r.name, bytes(r.content)) for r in sinks.entries(df).collect())
+    assert read(again) == read(one) and [r.name for r in sinks.entries(one, "Metadata/.*").collect()] == ["Metadata/x.bin"]
+
+
 def test_stl_files_are_read_back(spark, rows):
     t = spark.createDataFrame([("x.stl", k, *map(float, range(k, k + 9))) for k in range(5)], "path string, tid long, " + ", ".join(f"{p}{a} double" for p in "abc" for a in "xyz"))
     back = files.tables(files.parse_files(sinks.stl_binary(t)))
@@ -121,7 +155,7 @@ def test_selectors_and_secrets(spark):
     assert bytes(sealed.x) == b"\x01\x02\x03" and sealed.n == 31
 
 
-@pytest.mark.parametrize("name", ["mesh_rules", "package_rules", "crossing_triangles", "repaired_meshes", "merged_objects", "needed_resources", "package_statistics", "attachments_of_files", "names_of_files"])
+@pytest.mark.parametrize("name", ["mesh_rules", "package_rules", "crossing_triangles", "repaired_meshes", "merged_objects", "needed_resources", "package_statistics", "attachments_of_files", "names_of_files", "slicer_files"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
