@@ -54,3 +54,15 @@ def reachable(roots: DataFrame, links: DataFrame) -> DataFrame:
         new = checkpointed(found.join(known, ["root", "node"], "left_anti"))
         known = checkpointed(known.unionByName(new))
     return known
+
+
+#: Triangles up to which an object is worked on by one task.
+SMALL = 50_000
+
+
+def by_size(triangles: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """triangles (object_id, ...) of objects with at most SMALL of them, and of the others (None if there are none)."""
+    large = checkpointed(triangles.groupBy("object_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("object_id"))
+    if large.isEmpty():
+        return triangles, None
+    return triangles.join(large, "object_id", "left_anti"), triangles.join(large, "object_id", "left_semi")

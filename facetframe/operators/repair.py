@@ -1,4 +1,4 @@
-"""Repair of meshes: winding and holes. Islands whose windings fit together are turned by labels with a parity, of any size; what is left for one group is the part of an object that has no such winding."""
+"""Repair of meshes: winding and holes. Objects of bounded size are worked on by one task each. In larger ones islands whose windings fit together are turned by labels with a parity, of any size; one task gets what has no such winding."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import checkpointed, signed_components
+from .graphs import by_size, checkpointed, signed_components
 
 EDGES = ((0, 1), (1, 2), (2, 0))
 
@@ -18,15 +18,19 @@ def _schema(triangles: DataFrame, extra: str) -> str:
 
 
 def harmonize(triangles: DataFrame) -> DataFrame:
-    """object_id, tid, v1, v2, v3, flipped: each island gets the winding of its least tid.
+    """object_id, tid, v1, v2, v3, flipped: each island gets the winding of its least tid."""
+    small, large = by_size(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
+    return _walked(small) if large is None else _walked(small).unionByName(_by_parity(large))
 
-    Two triangles at an edge that run along it in the same direction must differ, others agree. Islands with two
+
+def _by_parity(triangles: DataFrame) -> DataFrame:
+    """Two triangles at an edge that run along it in the same direction must differ, others agree. Islands with two
     triangles at most at an edge and no contradiction follow from that. In the others windings can't fit; there a walk
     from the least triangle, breadth first, decides: one that runs along a shared edge in the same direction is turned
     (v2 and v3 change places), and an edge is followed once, by the first triangle that reaches it. Only these islands
     are gathered, object by object.
     """
-    t = checkpointed(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
+    t = checkpointed(triangles)
     key = F.struct("object_id", "tid")
     ends = F.array(*[F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi"), (F.col(p) < F.col(q)).alias("up")) for p, q in (("v1", "v2"), ("v2", "v3"), ("v3", "v1"))])
     sides = checkpointed(t.select("object_id", key.alias("key"), F.explode(ends).alias("e")).select("object_id", "key", "e.lo", "e.hi", "e.up"))

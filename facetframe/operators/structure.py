@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.vectors import matmul
-from .graphs import checkpointed, components
+from .graphs import by_size, checkpointed, components
 
 MAX_DEPTH = 16
 
@@ -48,14 +49,39 @@ def resolve(items: DataFrame, components: DataFrame, max_depth: int = MAX_DEPTH)
 def islands(triangles: DataFrame) -> DataFrame:
     """(object_id, tid, island): triangles connected by shared edges; an island is named by its least tid.
 
-    At each edge the least triangle is linked with the others; labels then move along links, so an object may be of any size.
+    Objects of bounded size are labelled in one task each. In others the least triangle at each edge is linked with those
+    there, and labels move along links, so an object may be of any size.
     """
+    small, large = by_size(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
+    made = small.groupBy("object_id").applyInPandas(_labelled, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
+    return made if large is None else made.unionByName(_linked(large))
+
+
+def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("tid", kind="stable")
+    v, n = pdf[["v1", "v2", "v3"]].to_numpy(), len(pdf)
+    sides = np.sort(np.concatenate([v[:, [0, 1]], v[:, [1, 2]], v[:, [2, 0]]]), axis=1)
+    edge = np.unique(sides, axis=0, return_inverse=True)[1].reshape(-1)
+    face, label = np.tile(np.arange(n), 3), np.arange(n)
+    while True:
+        least = np.full(edge.max() + 1, n)
+        np.minimum.at(least, edge, label[face])
+        after = label.copy()
+        np.minimum.at(after, face, least[edge])
+        after = after[after]
+        if (after == label).all():
+            tid = pdf["tid"].to_numpy()
+            return pd.DataFrame({"object_id": pdf["object_id"], "tid": tid, "island": tid[label]})
+        label = after
+
+
+def _linked(triangles: DataFrame) -> DataFrame:
     ends = F.array(*[F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")) for p, q in (("v1", "v2"), ("v2", "v3"), ("v3", "v1"))])
     sides = checkpointed(triangles.select("object_id", "tid", F.explode(ends).alias("e")))
     least = sides.groupBy("object_id", "e").agg(F.min("tid").alias("first"))
     links = sides.join(least, ["object_id", "e"]).where("tid <> first").select(F.struct("object_id", F.col("first").alias("tid")).alias("a"), F.struct("object_id", "tid").alias("b")).distinct()
     labels = components(links).select(F.col("key.object_id").alias("object_id"), F.col("key.tid").alias("tid"), F.col("label.tid").alias("island"))
-    return triangles.select("object_id", F.col("tid").cast("long").alias("tid")).join(labels, ["object_id", "tid"], "left").select("object_id", "tid", F.coalesce("island", "tid").cast("long").alias("island"))
+    return triangles.select("object_id", "tid").join(labels, ["object_id", "tid"], "left").select("object_id", "tid", F.coalesce("island", "tid").alias("island"))
 
 
 @F.pandas_udf(IntegerType())

@@ -137,7 +137,17 @@ def test_repair_in_order(spark):
     assert tuple(counts.collect()[0]) == (1, 2, 2, 0, 1) and out_v.count() == 4 and out_t.count() == 4
 
 
-def test_windings_of_large_and_odd_meshes(spark):
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_islands_of_small_and_large_objects(spark, monkeypatch, small):
+    monkeypatch.setattr(graphs, "SMALL", small)
+    rows = [(1, k, k // 5 * 10 + k % 5, k // 5 * 10 + k % 5 + 1, k // 5 * 10 + 9) for k in range(20)] + [(2, 7, 0, 1, 2)]
+    got = {(r.object_id, r.tid): r.island for r in structure.islands(spark.createDataFrame(rows, "object_id long, tid long, v1 long, v2 long, v3 long")).collect()}
+    assert got == {(1, k): k // 5 * 5 for k in range(20)} | {(2, 7): 7}
+
+
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_windings_of_large_and_odd_meshes(spark, monkeypatch, small):
+    monkeypatch.setattr(graphs, "SMALL", small)
     ring = [(1, i, i, i + 1, 100) if i % 3 else (1, i, i + 1, i, 100) for i in range(40)]
     odd = [(2, 0, 0, 1, 2), (2, 1, 0, 1, 3), (2, 2, 0, 1, 4)]
     df = spark.createDataFrame(ring + odd, "object_id long, tid long, v1 long, v2 long, v3 long")
