@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,29 +51,48 @@ def resolve(items: DataFrame, components: DataFrame, max_depth: int = MAX_DEPTH)
 def islands(triangles: DataFrame) -> DataFrame:
     """(object_id, tid, island): triangles connected by shared edges; an island is named by its least tid.
 
-    Objects of bounded size are labelled in one task each. In others the least triangle at each edge is linked with those
+    Objects of bounded size are labelled within tasks, many at once. In others the least triangle at each edge is linked with those
     there, and labels move along links, so an object may be of any size.
     """
     small, large = by_size(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
-    made = small.groupBy("object_id").applyInPandas(_labelled, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
+    made = small.repartition("object_id").sortWithinPartitions("object_id", "tid").mapInPandas(_labelled_batches, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
     return made if large is None else made.unionByName(_linked(large))
 
 
+def _labelled_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by object, labelled in batches of whole objects."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(held):
+            cut = int(np.argmax(held["object_id"].to_numpy() == held["object_id"].iloc[-1]))
+            if cut:
+                yield _labelled(held.iloc[:cut])
+                held = held.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield _labelled(held)
+
+
 def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("tid", kind="stable")
+    """pdf: triangles of whole objects, sorted by object and tid."""
     v, n = pdf[["v1", "v2", "v3"]].to_numpy(), len(pdf)
+    code = np.tile(pd.factorize(pdf["object_id"])[0], 3)
     sides = np.sort(np.concatenate([v[:, [0, 1]], v[:, [1, 2]], v[:, [2, 0]]]), axis=1)
-    edge = np.unique(sides, axis=0, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((sides[:, 1], sides[:, 0], code))
+    new = np.ones(3 * n, bool)
+    new[1:] = (np.diff(code[order]) != 0) | (np.diff(sides[order], axis=0) != 0).any(axis=1)
+    edge = np.empty(3 * n, np.int64)
+    edge[order] = np.cumsum(new) - 1
     face, label = np.tile(np.arange(n), 3), np.arange(n)
     while True:
-        least = np.full(edge.max() + 1, n)
+        least = np.full(int(new.sum()), n)
         np.minimum.at(least, edge, label[face])
         after = label.copy()
         np.minimum.at(after, face, least[edge])
         after = after[after]
         if (after == label).all():
             tid = pdf["tid"].to_numpy()
-            return pd.DataFrame({"object_id": pdf["object_id"], "tid": tid, "island": tid[label]})
+            return pd.DataFrame({"object_id": pdf["object_id"].to_numpy(), "tid": tid, "island": tid[label]})
         label = after
 
 
