@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetframe.functions import vectors as V
+from facetframe.operators import graphs
 from facetframe.operators import geometry as G
 from facetframe.operators import repair as R
 from facetframe.operators import rules
@@ -212,9 +213,10 @@ def test_whole_meshes_by_brute_force(spark):
     assert {(r.object_id, r.v): r.fans for r in bindings.QUERIES["vertex_fans_whole"](spark, SF).collect()} == fans
 
 
-def test_islands_of_one_large_object(spark):
+def test_islands_of_one_large_object(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SMALL", 100)  # so the object is a large one, which no task may hold
     strip = [(i, i + 1, i + 2) for i in range(400)]
     t, _ = mesh(spark, [(0.0, 0.0, 0.0)], strip[1::2] + strip[::2] + [(900, 901, 902)])
     named = S.islands(t)
     assert {r.tid: r.island for r in named.collect()} == {i: 0 if i < 400 else 400 for i in range(401)}
-    assert "InPandas" not in named._jdf.queryExecution().toString()
+    assert "InPandas" not in S._linked(t)._jdf.queryExecution().toString()
