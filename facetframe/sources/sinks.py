@@ -7,6 +7,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
@@ -67,15 +68,29 @@ RELS = f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://sche
 def archives(entries: DataFrame) -> DataFrame:
     """entries: path, name, content binary. (path, content): an archive for each path, entries by name, those of a name once. What was read from a package can be written again so, attachments and all."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in zip(pdf["name"], pdf["content"]):
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [out.getvalue()]})
-
     once = entries.groupBy("path", "name").agg(F.min("content").alias("content"))
-    return once.groupBy("path").applyInPandas(lambda pdf: build(pdf.sort_values("name")), "path string, content binary")
+    return once.repartition("path").sortWithinPartitions("path", "name").mapInPandas(_archived, "path string, content binary")
+
+
+def _archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries sorted by path and name go into their archives as they come; a task holds one batch and its archives."""
+    no = object()
+    path = content = z = no
+    for batch in batches:
+        done = []
+        for at, name, data in zip(batch["path"], batch["name"], batch["content"]):
+            if path is no or at != path:
+                if path is not no:
+                    z.close()
+                    done.append((path, content.getvalue()))
+                path, content = at, io.BytesIO()
+                z = zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED)
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+        if done:
+            yield pd.DataFrame(done, columns=["path", "content"])
+    if path is not no:
+        z.close()
+        yield pd.DataFrame({"path": [path], "content": [content.getvalue()]})
 
 
 def entries(packages: DataFrame, wanted: str = ".*") -> DataFrame:
@@ -93,7 +108,7 @@ def entries(packages: DataFrame, wanted: str = ".*") -> DataFrame:
 
 
 def packages(objects: DataFrame, vertices: DataFrame, triangles: DataFrame, components: DataFrame, items: DataFrame, unit: str = "millimeter") -> DataFrame:
-    """(path, content): an archive for each path. Tables as `sources.files.tables` gives them; rows become elements in Spark, a task only strings them together."""
+    """(path, content): an archive for each path. Tables as `sources.files.tables` gives them; rows become elements in Spark, a task only strings them together, row by row."""
     attribute = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.lit(""))
     row = lambda df, part, owner, seq, value: df.select("path", F.col(owner).cast("long").alias("owner"), F.lit(part).alias("part"), F.col(seq).cast("long").alias("seq"), value.alias("value"))
     name = F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), _quoted("name"))).otherwise(F.lit(""))
@@ -105,22 +120,64 @@ def packages(objects: DataFrame, vertices: DataFrame, triangles: DataFrame, comp
         .unionByName(row(items.withColumn("_last", F.lit(2**62)), 4, "_last", "seq", F.concat(F.lit("<item"), attribute("objectid", "item_object_id"), attribute("transform", "transform"), F.lit("/>"))))
     )
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["owner", "part", "seq"], kind="stable")
-        wrap, out, tail = {1: "vertices", 2: "triangles", 3: "components"}, [f'<?xml version="1.0" encoding="UTF-8"?><model unit="{unit}" xmlns="{CORE}"><resources>'], []
-        for _, some in pdf[pdf["part"] < 4].groupby("owner", sort=True):
-            by = {p: "".join(g) for p, g in some.groupby("part")["value"]}
-            tag = {p: f"<{wrap[p]}>{by[p]}</{wrap[p]}>" for p in by if p}
-            mesh = tag.get(1, "") + tag.get(2, "")
-            out.append(by.get(0, "<object>") + (f"<mesh>{mesh}</mesh>" if mesh else "") + tag.get(3, "") + "</object>")
-        tail = pdf[pdf["part"] == 4]["value"]
-        content = io.BytesIO()
-        with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
-            for part, text in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELS), ("3D/3dmodel.model", "".join([*out, "</resources><build>", *tail, "</build></model>"]))):
-                z.writestr(zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [content.getvalue()]})
-
-    return rows.groupBy("path").applyInPandas(build, "path string, content binary")
+    order = ["path", F.col("part") == 4, "owner", "part", "seq"]
+    return rows.where("owner is not null").repartition("path").sortWithinPartitions(*order).select("path", "owner", "part", "value").mapInPandas(partial(_packed, unit), "path string, content binary")
+
+
+def _packed(unit: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by path, then by place in the file, go into the archive as they come: a task holds one batch and the compressed archive."""
+    wrap, no = {1: "vertices", 2: "triangles", 3: "components"}, object()
+    path = owner = part = content = z = entry = no
+
+    def leave(after: int | None) -> str:
+        """Ends what is open in front of a row of that part of the same object (None: the object's end)."""
+        out = f"</{wrap[part]}>" if part in wrap else ""
+        return out + ("</mesh>" if part in (1, 2) and after != 2 else "") + ("</object>" if after is None else "")
+
+    def close() -> pd.DataFrame:
+        out = (leave(None) if part in (0, 1, 2, 3) else "") + ("" if part == 4 else "</resources><build>") + "</build></model>"
+        entry.write(out.encode())
+        entry.close()
+        z.close()
+        return pd.DataFrame({"path": [path], "content": [content.getvalue()]})
+
+    for batch in batches:
+        paths, owners, parts, values = (batch[c].to_numpy() for c in ("path", "owner", "part", "value"))
+        new = np.ones(len(batch), bool)
+        new[1:] = (paths[1:] != paths[:-1]) | (owners[1:] != owners[:-1]) | (parts[1:] != parts[:-1])
+        at = np.flatnonzero(new)
+        out = []
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(batch)]):
+            if path is no or paths[i] != path:
+                if path is not no:
+                    entry.write("".join(out).encode())
+                    out = []
+                    yield close()
+                path, owner, part, content = paths[i], no, no, io.BytesIO()
+                z = zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED)
+                for name, text in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELS)):
+                    z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+                info = zipfile.ZipInfo("3D/3dmodel.model", (1980, 1, 1, 0, 0, 0))
+                info.compress_type = zipfile.ZIP_DEFLATED
+                entry = z.open(info, "w", force_zip64=True)
+                out.append(f'<?xml version="1.0" encoding="UTF-8"?><model unit="{unit}" xmlns="{CORE}"><resources>')
+            now = int(parts[i])
+            if now == 4:
+                if part != 4:
+                    out.append((leave(None) if part is not no else "") + "</resources><build>")
+            elif owners[i] != owner:
+                if part is not no:
+                    out.append(leave(None))
+                part = 0
+                if now:
+                    out.append("<object>")
+            if now in wrap and now != part:
+                out.append(leave(now) + ("<mesh>" if now == 1 or now == 2 and part != 1 else "") + f"<{wrap[now]}>")
+            owner, part = owners[i], now
+            out.extend(values[i:j])
+        entry.write("".join(out).encode())
+    if path is not no:
+        yield close()
 
 
 @F.pandas_udf(StringType())
