@@ -6,19 +6,23 @@ shared by all objects. Each object is measured once however often it is placed.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import determinant, point, signed_volume, transform_point, triangle_area
+from . import batches as B
+from .graphs import large_objects
 
 
 def corners(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Triangles with ax..cz: three equi-joins, which Spark broadcasts or sort-merges by the vertices' size."""
+    """Triangles with ax..cz: three equi-joins, which Spark broadcasts or sort-merges by the vertices' size. Vertices of objects of their own are never broadcast, as they are as many as the triangles."""
     keys = ["object_id"] if "object_id" in vertices.columns else []
     out = triangles
     for name, v in (("a", "v1"), ("b", "v2"), ("c", "v3")):
         one = vertices.select(*keys, F.col("vid").alias(v), *[F.col(axis).cast("double").alias(f"{name}{axis}") for axis in "xyz"])
-        out = out.join(one, [*keys, v])
+        out = out.join(one.hint("merge") if keys else one, [*keys, v])
     return out
 
 
@@ -33,6 +37,50 @@ def measures(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     )
 
 
+BOX = ["min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]
+
+
+def own_measures(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """path, object_id (text) and what `measures` gives, with vertex_count. Triangles and vertices of objects of bounded size are shuffled once and measured within tasks."""
+    keys = ["path", "object_id"]
+    t = triangles.select(*keys, *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")])
+    v = vertices.select(*keys, F.col("vid").cast("long").alias("vid"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    large = large_objects(t, v, keys=tuple(keys))
+    small = lambda df: df if large is None else df.join(large, keys, "left_anti")
+    none = lambda kind, *names: [F.lit(0).cast(kind).alias(n) for n in names]
+    rows = small(v).select(*keys, F.lit(0).alias("tag"), F.col("vid").alias("v1"), *none("long", "v2", "v3"), *"xyz").unionByName(small(t).select(*keys, F.lit(1).alias("tag"), "v1", "v2", "v3", *none("double", *"xyz")))
+    types = ", ".join(f"{k} {dict(t.dtypes)[k]}" for k in keys)
+    made = B.whole(rows, tuple(keys), ("tag",), _measured, f"{types}, triangle_count long, area double, volume double, {', '.join(f'{b} double' for b in BOX)}, vertex_count long")
+    if large is None:
+        return made
+    keyed = lambda df: df.join(large, keys, "left_semi").withColumn("object_id", F.struct(*keys)).drop("path")
+    big = measures(keyed(t), keyed(v)).join(keyed(v).groupBy("object_id").agg(F.count(F.lit(1)).alias("vertex_count")), "object_id", "left")
+    return made.unionByName(big.select("object_id.*", *[c for c in big.columns if c != "object_id"]))
+
+
+def _measured(pdf: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+    tag = pdf["tag"].to_numpy()
+    own, face = np.flatnonzero(tag == 0), np.flatnonzero(tag == 1)
+    v, of = pdf[["v1", "v2", "v3"]].to_numpy(), code[face]
+    points = np.array(pdf[["x", "y", "z"]].to_numpy(), float)[own]
+    at = B.places(np.repeat(of, 3), v[face].astype(np.int64).ravel(), code[own], v[own, 0].astype(np.int64)).reshape(-1, 3)
+    there = (at >= 0).all(axis=1)
+    of, p = of[there], points[at[there]]
+    a, b, c = p[:, 0], p[:, 1], p[:, 2]
+    n = np.cross(b - a, c - a)
+    heads = np.flatnonzero(np.diff(of, prepend=-1))  # the first triangle of each object that has any
+    out = pdf.iloc[np.searchsorted(code, of[heads])][["path", "object_id"]].reset_index(drop=True)
+    add = lambda x: np.add.reduceat(x, heads) if len(heads) else x[:0]
+    out["triangle_count"] = add(np.ones(len(of), np.int64))
+    out["area"], out["volume"] = add(np.sqrt((n * n).sum(axis=1)) * 0.5), add((a * np.cross(b, c)).sum(axis=1) / 6.0)
+    low, high = p.min(axis=1), p.max(axis=1)
+    for i, axis in enumerate("xyz"):
+        out[f"min_{axis}"] = np.minimum.reduceat(low[:, i], heads) if len(heads) else low[:, i]
+        out[f"max_{axis}"] = np.maximum.reduceat(high[:, i], heads) if len(heads) else high[:, i]
+    out["vertex_count"] = np.bincount(code[own], minlength=int(code[-1]) + 1)[of[heads]]
+    return out[["path", "object_id", "triangle_count", "area", "volume", *BOX, "vertex_count"]]
+
+
 def directed_edges(triangles: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.col(a).alias("s"), F.col(b).alias("e")) for a, b in (("v1", "v2"), ("v2", "v3"), ("v3", "v1"))])
     return triangles.select("object_id", "tid", F.explode(pairs).alias("p")).select("object_id", "tid", "p.s", "p.e")
@@ -80,4 +128,4 @@ def placed_measures(instances: DataFrame, per_object: DataFrame) -> DataFrame:
     j = instances.join(per_object, "object_id")
     box = [transform_point(F.col("transform"), (F.col(f"{x}_x"), F.col(f"{y}_y"), F.col(f"{z}_z"))) for x in ("min", "max") for y in ("min", "max") for z in ("min", "max")]
     moved = [F.least(*[p[i] for p in box]).alias(f"placed_min_{a}") for i, a in enumerate("xyz")] + [F.greatest(*[p[i] for p in box]).alias(f"placed_max_{a}") for i, a in enumerate("xyz")]
-    return j.select("instance_id", "object_id", "triangle_count", (F.col("area") * F.pow(d, 2 / 3)).alias("area"), (F.col("volume") * d).alias("volume"), *moved)
+    return j.select("instance_id", "object_id", "triangle_count", (F.col("area") * F.pow(d, 2 / 3)).alias("area"), (F.col("volume") * d).alias("volume"), *moved, *[c for c in ("vertex_count",) if c in per_object.columns])

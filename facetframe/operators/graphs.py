@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,16 @@ SMALL = 50_000
 
 def by_size(triangles: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """triangles (object_id, ...) of objects with at most SMALL of them, and of the others (None if there are none)."""
-    large = checkpointed(triangles.groupBy("object_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("object_id"))
-    if large.isEmpty():
+    large = large_objects(triangles, keys=("object_id",))
+    if large is None:
         return triangles, None
     return triangles.join(large, "object_id", "left_anti"), triangles.join(large, "object_id", "left_semi")
+
+
+def large_objects(*tables: DataFrame, keys: tuple[str, ...], most: int | None = None) -> DataFrame | None:
+    """keys of objects with more than `most` (SMALL if it is larger or not given) rows in all tables together, or None. With v1, v2 and v3, objects with an unknown one among them count as large."""
+    most = SMALL if most is None else min(SMALL, most)
+    odd = lambda df: F.expr("v1 is null or v2 is null or v3 is null") if {"v1", "v2", "v3"} <= set(df.columns) else F.lit(False)
+    n = reduce(DataFrame.unionByName, [df.select(*keys, odd(df).alias("odd")) for df in tables]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bool_or("odd").alias("odd"))
+    large = checkpointed(n.where((F.col("n") > most) | F.col("odd")).select(*keys))
+    return None if large.isEmpty() else large

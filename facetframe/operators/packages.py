@@ -25,10 +25,8 @@ def geometry_stats(items: DataFrame, components: DataFrame, triangles: DataFrame
     """
     key = lambda df, c, name: df.withColumn(name, F.struct("path", F.col(c).alias("id")))
     leaves, _ = S.resolve(key(items, "object_id", "object_id").withColumn("instance_id", F.struct("path", "seq")).select("instance_id", "object_id", "transform"), key(key(components, "object_id", "_o"), "child_object_id", "_c").select(F.col("_o").alias("object_id"), F.col("_c").alias("child_object_id"), "transform"))
-    t, v = key(triangles, "object_id", "object_id"), key(vertices, "object_id", "object_id").select("object_id", "vid", "x", "y", "z")
-    points = v.groupBy("object_id").agg(F.count(F.lit(1)).alias("vertex_count"))
-    measured = G.measures(t.select("object_id", "tid", "v1", "v2", "v3"), v)
-    placed = G.placed_measures(leaves, measured).join(points, "object_id", "left")
+    measured = key(G.own_measures(triangles, vertices), "object_id", "object_id").drop("path")
+    placed = G.placed_measures(leaves, measured)
     per = placed.groupBy(F.col("instance_id.path").alias("path")).agg(F.count(F.lit(1)).alias("objects"), F.sum("triangle_count").alias("triangles"), F.sum("vertex_count").alias("vertices"), F.sum("area").alias("area"), F.sum("volume").alias("volume"))
     return items.groupBy("path").agg(F.count(F.lit(1)).alias("instances")).join(per, "path", "left").fillna(0, ["objects", "triangles", "vertices", "area", "volume"])
 
