@@ -28,16 +28,22 @@ def whole(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], work:
                 code = codes(pdf, keys)
                 cut = int(np.searchsorted(code, code[-1]))
                 if cut:
-                    yield work(pdf.iloc[:cut], code[:cut])
+                    yield from _plain(work(pdf.iloc[:cut], code[:cut]))
                 held, n = [pdf.iloc[cut:].reset_index(drop=True)], n - cut
                 enough = max(ROWS, 2 * n)
         if n:
             pdf = pd.concat(held, ignore_index=True)
-            yield work(pdf, codes(pdf, keys))
+            yield from _plain(work(pdf, codes(pdf, keys)))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def _plain(made: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Not an empty frame, and no texts in chunks of Arrow, which are no single array on the way back."""
+    if len(made):
+        yield made.astype({c: object for c in made.columns if not isinstance(made[c].dtype, np.dtype)})
+
+
 def codes(pdf: pd.DataFrame, keys: tuple[str, ...]) -> np.ndarray:
     new = np.zeros(len(pdf), bool)
     for k in keys:

@@ -1,4 +1,4 @@
-"""Pairs of triangles of one mesh that cross each other: boxes meet in a grid with levels, then planes and intervals decide."""
+"""Pairs of triangles of one mesh that cross each other: all pairs of small meshes, of others those whose boxes meet in a grid with levels; then planes and intervals decide."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions.vectors import shared_vertices
+from . import batches as B
+from .graphs import large_objects
 
 #: Squared normal under which a triangle is degenerate, distance at which a corner is on a plane, overlap that counts.
 FLAT, ON, SLACK = 1e-12, 1e-7, 1e-6
@@ -87,9 +89,40 @@ def _cross(corners: pd.DataFrame) -> pd.Series:
     return pd.Series(triangles_cross(both[:, 0], both[:, 1]))
 
 
+#: Rows up to which all pairs of an object's triangles are tried within a task; boxes of larger objects meet in the grid.
+ALL_PAIRS = 500
+
+
 def self_intersections(corners: DataFrame) -> DataFrame:
     """corners: object_id, tid, v1, v2, v3, ax .. cz. (object_id, a_tid < b_tid) of triangles that cross and share fewer than two vertices."""
     one = corners.select("object_id", "tid", "v1", "v2", "v3", *[F.col(c).cast("double").alias(c) for c in CORNERS])
+    large = large_objects(one, keys=("object_id",), most=ALL_PAIRS)
+    rows = one if large is None else one.join(large, "object_id", "left_anti")
+    kinds = dict(one.dtypes)
+    made = B.whole(rows, ("object_id",), ("tid",), _crossing_pairs, f"object_id {kinds['object_id']}, a_tid {kinds['tid']}, b_tid {kinds['tid']}")
+    return made if large is None else made.unionByName(_by_grid(one.join(large, "object_id", "left_semi")))
+
+
+def _crossing_pairs(pdf: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+    a, b = crossing_rows(code, pdf[["v1", "v2", "v3"]].to_numpy(), pdf[CORNERS].to_numpy(float).reshape(-1, 3, 3))
+    tid = pdf["tid"].to_numpy()
+    return pd.DataFrame({"object_id": pdf["object_id"].to_numpy()[a], "a_tid": tid[a], "b_tid": tid[b]})
+
+
+def crossing_rows(code: np.ndarray, v: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, the earlier first, of triangles (v: vertices, p: corners) of one object that cross and share fewer than two vertices."""
+    low, high, found = p.min(axis=1), p.max(axis=1), []
+    for a, b in B.pairs(code):
+        near = ((low[a] <= high[b]) & (low[b] <= high[a])).all(axis=1)
+        a, b = a[near], b[near]
+        apart = (v[a][:, :, None] == v[b][:, None, :]).sum(axis=(1, 2)) < 2
+        a, b = a[apart], b[apart]
+        cross = triangles_cross(p[a], p[b])
+        found.append((a[cross], b[cross]))
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
+def _by_grid(one: DataFrame) -> DataFrame:
     pairs = box_pairs(_box(one), ("object_id",), "tid")
     for side in ("a", "b"):
         pairs = pairs.join(one.select("object_id", F.col("tid").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("v1", "v2", "v3", *CORNERS)]), ["object_id", f"{side}_id"])

@@ -1,12 +1,13 @@
 """Operators keep to one batch, or to objects of bounded size, in a task; objects over the bound go another way with the same results."""
 
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from facetframe.operators import geometry, graphs
+from facetframe.operators import crossing, geometry, graphs, repair, rules, structure
 from facetframe.sources import sinks
 
 
@@ -47,3 +48,21 @@ def test_own_vertices_are_not_broadcast(spark, monkeypatch):
     assert made[0] == made[1] and [r[1] for r in made[0]] == [20] * 5 and [r[-1] for r in made[0]] == [8] * 5
     for df in (geometry.corners(t.drop("path"), v.drop("path")), geometry.own_measures(t, v)):
         assert "BroadcastHashJoin" not in plan(df)
+
+
+def wild(spark, seed=5):
+    """Random meshes of a few objects, with repeated vertices and repeated faces among the triangles."""
+    r = random.Random(seed)
+    t = [("p", o, k, *[r.randrange(o + 4) for _ in "abc"]) for o in range(6) for k in range(9 * o + 1)]
+    v = [("p", o, k, *[float(r.randrange(5)) for _ in "xyz"]) for o in range(6) for k in range(o + 4)]
+    return spark.createDataFrame(t, "path string, object_id long, tid long, v1 long, v2 long, v3 long"), spark.createDataFrame(v, "path string, object_id long, vid long, x double, y double, z double")
+
+
+def test_crossings_of_small_meshes_stay_in_tasks(spark, monkeypatch):
+    t, v = wild(spark)
+    c = geometry.corners(t.drop("path"), v.drop("path"))
+    made = crossing.self_intersections(c)
+    assert "MapInPandas" in plan(made) and "log2" not in plan(made).lower()
+    got = sorted(map(tuple, made.collect()))
+    monkeypatch.setattr(crossing, "ALL_PAIRS", 20)  # so that some objects go to the grid
+    assert got and got == sorted(map(tuple, crossing.self_intersections(c).collect()))
