@@ -13,17 +13,20 @@ tables is. Rules 4002 to 4008 are for objects of type model and solidsupport, 41
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import UNIT_METRES
+from . import batches as B
 from . import crossing as X
 from . import geometry as G
 from . import structure as S
-from .graphs import checkpointed
+from .graphs import checkpointed, large_objects
 
 LEVELS = {"minimal": 0, "standard": 1, "strict": 2, "paranoid": 3}
 Model = dict[str, DataFrame]
@@ -179,6 +182,97 @@ def _loose_types(m: Model) -> DataFrame:
     return _unkeyed(n, "n")
 
 
+#: Rules on the geometry of one object at a time: objects of bounded size are judged by all of them in one pass.
+BY_OBJECT = (4001, 4002, 4003, 4004, 4005, 4006, 4007, 4008, 4100)
+#: Rows (triangles and vertices) up to which an object counts as small.
+ALL_RULES = 1000
+
+
+def _by_object(m: Model, codes: list[int]) -> tuple[DataFrame, Model | None]:
+    """(path, code, owner, element) of small objects by the rules of `codes`, and the model of the large ones (None if there are none). One shuffle brings an object's rows together."""
+    keys = ["path", "object_id"]
+    t, v = m["triangles"], m["vertices"].select(*keys, "vid", *"xyz") if {4005, 4008} & set(codes) else None
+    large = large_objects(*[df for df in (t, v) if df is not None], keys=tuple(keys), most=ALL_RULES)
+    small = lambda df: df if large is None else df.join(large, keys, "left_anti")
+    row = lambda df, tag, longs, doubles: df.select("path", F.col("object_id").cast("long").alias("object_id"), F.lit(tag).alias("tag"), *[x.cast("long").alias(n) for x, n in zip(longs, ("id", "v1", "v2", "v3"))], *[x.cast("double").alias(n) for x, n in zip(doubles, "xyz")])
+    zero = F.lit(0)
+    rows = row(small(t), 2, [F.col(c) for c in ("tid", "v1", "v2", "v3")], [zero] * 3)
+    if v is not None:
+        rows = rows.unionByName(row(small(v).where("vid is not null"), 1, [F.col("vid"), zero, zero, zero], [F.col(c) for c in "xyz"]))
+    if "objects" in m:
+        o = m["objects"].select(*keys, F.coalesce(F.col("type"), F.lit("model")).isin("model", "solidsupport").alias("solid"))
+        least = F.lit(1e-6)
+        if "units" in m:
+            metres = F.create_map(*[x for k, u in UNIT_METRES.items() for x in (F.lit(k), F.lit(u))])
+            scale = F.coalesce(F.try_element_at(metres, F.col("unit")), F.lit(UNIT_METRES["millimeter"]))
+            o, least = o.join(m["units"].select("path", "unit").distinct(), "path", "left"), 1e-12 / (scale * scale)
+        rows = rows.unionByName(row(o, 0, [F.col("solid"), zero, zero, zero], [least, zero, zero]))
+    found = B.whole(rows, ("path", "object_id"), ("tag", "id"), partial(_judged, tuple(codes)), "path string, code int, owner long, element string")
+    if large is None:
+        return found, None
+    return found, m | {k: m[k].join(large, keys, "left_semi") for k in ("triangles", "vertices") if k in m}
+
+
+def _judged(codes: tuple[int, ...], pdf: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+    tag, n = pdf["tag"].to_numpy(), int(code[-1]) + 1
+    ids, v = pdf["id"].to_numpy(), pdf[["v1", "v2", "v3"]].to_numpy()
+    number = np.searchsorted(code, np.arange(n))  # a row of each object
+    thing, point, face = (np.flatnonzero(tag == k) for k in (0, 1, 2))
+    solid, loose, least = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n)
+    solid[code[thing[ids[thing] == 1]]], loose[code[thing[ids[thing] == 0]]] = True, True
+    least[code[thing]] = pdf["x"].to_numpy()[thing]
+    found: list[tuple[int, np.ndarray, list[str]]] = []  # code, objects, elements
+    of, tid, v = code[face], ids[face], v[face]
+    found += [(4001, of[r], x) for c, r, x, _ in G.edge_findings(of, tid, v) if c == 4001] if 4001 in codes else []
+    if 4100 in codes:
+        keep = loose[of]
+        edge, first = B.numbered(*_undirected(of[keep], v[keep]))
+        odd = np.bincount(np.tile(of[keep], 3)[first[np.bincount(edge) != 2]], minlength=n)
+        found.append((4100, np.flatnonzero(odd), list(map(str, odd[odd > 0].tolist()))))
+    keep = solid[of]
+    of, tid, v = of[keep], tid[keep], v[keep]
+    if {4002, 4003, 4004} & set(codes):
+        found += [(c, of[r], x) for c, r, x, _ in G.edge_findings(of, tid, v) if c != 4001]
+    if 4006 in codes:
+        found.append((4006, *_several_fans(of, v)))
+    if 4007 in codes:
+        edge = B.numbered(*_undirected(of, v))[0]
+        heads = B.least_labels(np.tile(np.arange(len(of)), 3), edge, len(of)) == np.arange(len(of))
+        islands = np.bincount(of[heads], minlength=n)
+        found.append((4007, np.flatnonzero(islands > 1), list(map(str, islands[islands > 1].tolist()))))
+    if {4005, 4008} & set(codes):
+        at = B.places(np.repeat(of, 3), v.ravel(), code[point], ids[point]).reshape(-1, 3)
+        there = (at >= 0).all(axis=1)
+        of, tid, v, p = of[there], tid[there], v[there], np.array(pdf[["x", "y", "z"]].to_numpy(), float)[point][at[there]]
+        normal = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+        thin = np.sqrt(normal[:, 0] * normal[:, 0] + normal[:, 1] * normal[:, 1] + normal[:, 2] * normal[:, 2]) * 0.5 < least[of]
+        found.append((4005, of[thin], list(map(str, tid[thin].tolist()))))
+        if 4008 in codes:
+            cuts = np.bincount(of[X.crossing_rows(of, v, p)[0]], minlength=n)
+            found.append((4008, np.flatnonzero(cuts), list(map(str, cuts[cuts > 0].tolist()))))
+    found = [x for x in found if x[0] in codes]
+    row = number[np.concatenate([of for _, of, _ in found])]
+    return pd.DataFrame({"path": pdf["path"].to_numpy()[row], "code": np.repeat([c for c, *_ in found], [len(x) for *_, x in found]), "owner": pdf["object_id"].to_numpy()[row], "element": [x for *_, some in found for x in some]})
+
+
+def _undirected(of: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, e = v.T.ravel(), v[:, [1, 2, 0]].T.ravel()
+    return np.tile(of, 3), np.minimum(s, e), np.maximum(s, e)
+
+
+def _several_fans(of: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Vertices at which triangles without a repeated vertex are in more than one group connected by edges: their objects, and themselves as text."""
+    sound = (v != v[:, [1, 2, 0]]).all(axis=1)
+    of, v = np.tile(of[sound], 3), v[sound]
+    at, a, b = (v[:, turn].T.ravel() for turn in ([0, 1, 2], [1, 2, 0], [2, 0, 1]))
+    node, first = B.numbered(np.tile(of, 2), np.tile(at, 2), np.concatenate([a, b]))
+    label = B.least_labels(node, np.tile(np.arange(len(of)), 2), len(first))
+    heads = first[label == np.arange(len(label))] % max(1, len(of))  # one for each fan
+    vertex, one = B.numbered(of[heads], at[heads])
+    several = one[np.bincount(vertex) > 1] if len(heads) else one
+    return of[heads][several], list(map(str, at[heads][several].tolist()))
+
+
 def _vector(table: str, condition: Column) -> Callable[[Model], DataFrame]:
     return lambda m: _found(m[table].where(condition), "object_id", "seq")
 
@@ -242,7 +336,17 @@ def _rules() -> tuple[Rule, ...]:
 
 def validate(model: Model, level: str = "paranoid", codes: tuple[int, ...] = ()) -> DataFrame:
     """(path, code, severity, owner, element): what breaks the rules up to `level`, or those of `codes` alone."""
-    found = [r.find(model).select("path", F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), "owner", "element") for r in _rules() if LEVELS[r.level] <= LEVELS[level] and set(r.tables) <= set(model) and (not codes or r.code in codes)]
-    if not found:
+    wanted = [r for r in _rules() if LEVELS[r.level] <= LEVELS[level] and set(r.tables) <= set(model) and (not codes or r.code in codes)]
+    if not wanted:
         raise ValueError("no rule fits the tables given")
+    found, large = [], None
+    by_object = [r for r in wanted if r.code in BY_OBJECT]
+    if by_object:
+        small, large = _by_object(model, [r.code for r in by_object])
+        severity = F.create_map(*[F.lit(x) for r in by_object for x in (r.code, r.severity)])
+        found = [small.select("path", "code", severity[F.col("code")].alias("severity"), "owner", "element")]
+    for r in wanted:
+        m = model if r.code not in BY_OBJECT else large
+        if m is not None:
+            found.append(r.find(m).select("path", F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), "owner", "element"))
     return reduce(DataFrame.unionByName, found)

@@ -66,3 +66,17 @@ def test_crossings_of_small_meshes_stay_in_tasks(spark, monkeypatch):
     got = sorted(map(tuple, made.collect()))
     monkeypatch.setattr(crossing, "ALL_PAIRS", 20)  # so that some objects go to the grid
     assert got and got == sorted(map(tuple, crossing.self_intersections(c).collect()))
+
+
+def test_rules_on_meshes_are_one_pass(spark, monkeypatch):
+    t, v = wild(spark)
+    objects = t.select("path", "object_id").distinct().withColumns({"type": F.when(F.col("object_id") == 3, "support").otherwise("model"), "kind": F.lit("mesh")})
+    model = {"objects": objects, "triangles": t, "vertices": v, "units": spark.createDataFrame([("p", "micron")], "path string, unit string")}
+    codes = (4001, 4002, 4003, 4004, 4005, 4006, 4007, 4008, 4100)
+    made = rules.validate(model, codes=codes)
+    assert plan(made).count("MapInPandas") <= 4  # one in each of the printed plans
+    got = sorted(map(str, made.collect()))
+    assert {r.code for r in made.collect()} == set(codes)
+    for small in (25, 0):  # some objects, and all of them, go by joins
+        monkeypatch.setattr(rules, "ALL_RULES", small)
+        assert got == sorted(map(str, rules.validate(model, codes=codes).collect()))
