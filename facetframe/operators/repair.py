@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .graphs import by_size, checkpointed, signed_components
 
-EDGES = ((0, 1), (1, 2), (2, 0))
-
-
 def _schema(triangles: DataFrame, extra: str) -> str:
     return f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, v1 long, v2 long, v3 long, {extra} boolean"
 
@@ -20,7 +17,7 @@ def _schema(triangles: DataFrame, extra: str) -> str:
 def harmonize(triangles: DataFrame) -> DataFrame:
     """object_id, tid, v1, v2, v3, flipped: each island gets the winding of its least tid."""
     small, large = by_size(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
-    return _walked(small) if large is None else _walked(small).unionByName(_by_parity(large))
+    return _turned(small) if large is None else _turned(small).unionByName(_by_parity(large))
 
 
 def _by_parity(triangles: DataFrame) -> DataFrame:
@@ -50,33 +47,45 @@ def _by_parity(triangles: DataFrame) -> DataFrame:
     return plain.unionByName(_walked(named.where("walk").select("object_id", "tid", "v1", "v2", "v3")))
 
 
+def _turned(triangles: DataFrame) -> DataFrame:
+    return B.whole(triangles, ("object_id",), ("tid",), _walk, _schema(triangles, "flipped"))
+
+
 def _walked(triangles: DataFrame) -> DataFrame:
-    def turn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tid").reset_index(drop=True)
-        faces, at = pdf[["v1", "v2", "v3"]].to_numpy().tolist(), {}
-        for i, f in enumerate(faces):
-            for a, b in EDGES:
-                at.setdefault((min(f[a], f[b]), max(f[a], f[b])), []).append(i)
-        met, flipped = [False] * len(faces), [False] * len(faces)
-        for first in range(len(faces)):
-            if met[first]:
-                continue
-            met[first], queue = True, deque([first])
-            while queue:
-                f = faces[queue.popleft()]
-                for a, b in EDGES:
-                    for j in at.pop((min(f[a], f[b]), max(f[a], f[b])), ()):
-                        if met[j]:
-                            continue
-                        g = faces[j]
-                        if any((g[p], g[q]) == (f[a], f[b]) for p, q in EDGES):
-                            g[1], g[2], flipped[j] = g[2], g[1], True
-                        met[j] = True
-                        queue.append(j)
-        out = pd.DataFrame(faces, columns=["v1", "v2", "v3"])
-        return pd.DataFrame({"object_id": pdf["object_id"], "tid": pdf["tid"], "v1": out["v1"], "v2": out["v2"], "v3": out["v3"], "flipped": flipped})
-
-    return triangles.select("object_id", "tid", "v1", "v2", "v3").groupBy("object_id").applyInPandas(turn, _schema(triangles, "flipped"))
+    """Whole objects, object by object in a task, whatever their size."""
+    return _turned(triangles.select("object_id", "tid", "v1", "v2", "v3"))
+
+
+def _walk(pdf: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+    """The walk of all islands of all objects at once, a level of each at a time. now holds the triangles of a level in the order in which they are met."""
+    v, n = pdf[["v1", "v2", "v3"]].to_numpy().copy(), len(pdf)
+    edge = B.sides(code, v)[2].reshape(3, n).T
+    root = B.least_labels(np.tile(np.arange(n), 3), edge.T.ravel(), n)
+    order = np.argsort(edge.ravel(), kind="stable")  # triangles at each edge by tid
+    at, begin = order // 3, np.append(np.searchsorted(edge.ravel()[order], np.arange(edge.max(initial=-1) + 1)), 3 * n)
+    met, flipped, done = root == np.arange(n), np.zeros(n, bool), np.zeros(len(begin) - 1, bool)
+    now = np.flatnonzero(met)
+    while len(now):
+        turned = flipped[now][:, None]
+        e = np.where(turned, edge[now][:, ::-1], edge[now])  # v1-v3-v2: its sides are the third, second and first
+        s, t = v[now], v[now][:, [1, 2, 0]]
+        e, s, t = e.ravel(), s.ravel(), t.ravel()
+        first = np.unique(e, return_index=True)[1]
+        first = np.sort(first[~done[e[first]]])
+        e, s, t = e[first], s[first], t[first]
+        done[e] = True
+        many = begin[e + 1] - begin[e]
+        j = at[np.repeat(begin[e], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        s, t = np.repeat(s, many), np.repeat(t, many)
+        first = np.unique(j, return_index=True)[1]
+        first = np.sort(first[~met[j[first]]])
+        now, s, t = j[first], s[first], t[first]
+        g = v[now]
+        same = ((g == s[:, None]) & (g[:, [1, 2, 0]] == t[:, None])).any(axis=1)
+        turn = now[same]
+        v[turn] = v[turn][:, [0, 2, 1]]
+        flipped[turn], met[now] = True, True
+    return pd.DataFrame({"object_id": pdf["object_id"].to_numpy(), "tid": pdf["tid"].to_numpy(), "v1": v[:, 0], "v2": v[:, 1], "v3": v[:, 2], "flipped": flipped})
 
 
 def fill_holes(triangles: DataFrame) -> DataFrame:
@@ -86,29 +95,44 @@ def fill_holes(triangles: DataFrame) -> DataFrame:
     triangles are numbered after the largest tid. Boundary walks that do not close are left open.
     """
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tid")
-        count, directed = {}, []
-        for f in pdf[["v1", "v2", "v3"]].to_numpy().tolist():
-            for a, b in EDGES:
-                e = (min(f[a], f[b]), max(f[a], f[b]))
-                count[e] = count.get(e, 0) + 1
-                directed.append((f[a], f[b]))
-        after: dict[int, list[int]] = {}
-        for a, b in sorted(directed, reverse=True):
-            if a != b and count[min(a, b), max(a, b)] == 1:
-                after.setdefault(b, []).append(a)
-        made = []
-        for start in sorted(after):
-            while after[start]:
-                loop, v = [start], after[start].pop()
-                while v != start and after.get(v):
-                    loop.append(v)
-                    v = after[v].pop()
-                if v == start and len(loop) >= 3:
-                    made += [(loop[0], loop[i], loop[i + 1]) for i in range(1, len(loop) - 1)]
-        new = pd.DataFrame(made, columns=["v1", "v2", "v3"], dtype="int64")
-        new["object_id"], new["tid"], new["added"] = pdf["object_id"].iloc[0], range(pdf["tid"].max() + 1, pdf["tid"].max() + 1 + len(made)), True
-        return pd.concat([pdf.assign(added=False), new])[["object_id", "tid", "v1", "v2", "v3", "added"]]
-
-    return triangles.select("object_id", "tid", "v1", "v2", "v3").groupBy("object_id").applyInPandas(fill, _schema(triangles, "added"))
+    return B.whole(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]), ("object_id",), ("tid",), _filled, _schema(triangles, "added"))
+
+
+def _filled(pdf: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+    known = pdf[["v1", "v2", "v3"]].notna().all(axis=1).to_numpy()
+    s, e, edge = B.sides(code[known], pdf.loc[known, ["v1", "v2", "v3"]].to_numpy(np.int64))
+    keep = np.flatnonzero((s != e) & (np.bincount(edge)[edge] == 1))  # sides at the boundary
+    of = np.tile(code[known], 3)[keep]
+    order = np.lexsort((-e[keep], -s[keep], of))
+    keep, of = keep[order], of[order]
+    heads = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+    last = np.searchsorted(code, of[heads], side="right") - 1
+    owner, most = pdf["object_id"].to_numpy()[last], pdf["tid"].to_numpy()[last].tolist()
+    made, of_made, tids = [], [], []
+    start, end = s[keep].tolist(), e[keep].tolist()
+    for k, (i, j) in enumerate(zip(heads, [*heads[1:], len(of)])):
+        new = _fans(start[i:j], end[i:j])
+        made += new
+        of_made += [k] * len(new)
+        tids += range(most[k] + 1, most[k] + 1 + len(new))
+    out = pd.DataFrame(np.array(made, np.int64).reshape(-1, 3), columns=["v1", "v2", "v3"])
+    out["object_id"], out["tid"], out["added"] = owner[of_made], tids, True
+    faces = ["object_id", "tid", "v1", "v2", "v3", "added"]
+    return pd.concat([pdf.assign(added=False)[faces], out[faces]]) if made else pdf.assign(added=False)[faces]
+
+
+def _fans(start: list[int], end: list[int]) -> list[tuple[int, int, int]]:
+    """Triangles of the closed loops of one object's boundary sides, given by descending start and end."""
+    after: dict[int, list[int]] = {}
+    for a, b in zip(start, end):
+        after.setdefault(b, []).append(a)
+    made = []
+    for begin in sorted(after):
+        while after[begin]:
+            loop, v = [begin], after[begin].pop()
+            while v != begin and after.get(v):
+                loop.append(v)
+                v = after[v].pop()
+            if v == begin and len(loop) >= 3:
+                made += [(loop[0], loop[i], loop[i + 1]) for i in range(1, len(loop) - 1)]
+    return made

@@ -184,9 +184,8 @@ def stitch(vertices: DataFrame, triangles: DataFrame, epsilon: float) -> tuple[D
 
 def unique_faces(triangles: DataFrame) -> DataFrame:
     """Of triangles with the same three vertices, in any order, the one with the least tid."""
-    face = F.array_sort(F.array("v1", "v2", "v3"))
-    least = triangles.groupBy("object_id", face.alias("_f")).agg(F.min("tid").alias("tid")).select("object_id", "tid")
-    return triangles.join(least, ["object_id", "tid"])
+    least = Window.partitionBy("object_id", "_f").orderBy("tid")
+    return triangles.withColumn("_f", F.array_sort(F.array("v1", "v2", "v3"))).withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_f", "_n")
 
 
 def sound_faces(triangles: DataFrame) -> DataFrame:

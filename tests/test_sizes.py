@@ -80,3 +80,35 @@ def test_rules_on_meshes_are_one_pass(spark, monkeypatch):
     for small in (25, 0):  # some objects, and all of them, go by joins
         monkeypatch.setattr(rules, "ALL_RULES", small)
         assert got == sorted(map(str, rules.validate(model, codes=codes).collect()))
+
+
+def walked(faces):
+    """The walk by hand: breadth first from the least triangle not met, an edge is followed once."""
+    faces, met, out = [list(f) for f in faces], set(), set()
+    sides, used = (lambda f: [(f[0], f[1]), (f[1], f[2]), (f[2], f[0])]), set()
+    for first in range(len(faces)):
+        queue = [] if first in met else [first]
+        met.add(first)
+        for i in queue:
+            for a, b in sides(faces[i]):
+                if frozenset((a, b)) not in used:
+                    used.add(frozenset((a, b)))
+                    for j, g in enumerate(faces):
+                        if j not in met and any({a, b} == {p, q} for p, q in sides(g)):
+                            if (a, b) in sides(g):
+                                g[1], g[2] = g[2], g[1]
+                                out.add(j)
+                            met.add(j)
+                            queue.append(j)
+    return [(*f, i in out) for i, f in enumerate(faces)]
+
+
+def test_windings_of_many_objects_at_once(spark):
+    t, _ = wild(spark)
+    made = repair.harmonize(t.drop("path"))
+    assert "FlatMapGroupsInPandas" not in plan(made)
+    rows, got = t.orderBy("object_id", "tid").collect(), made.orderBy("object_id", "tid").collect()
+    for o in range(6):
+        assert [(r.v1, r.v2, r.v3, r.flipped) for r in got if r.object_id == o] == walked([(r.v1, r.v2, r.v3) for r in rows if r.object_id == o])
+    twice = structure.unique_faces(t.drop("path"))
+    assert "Join" not in plan(twice) and twice.select("object_id", F.array_sort(F.array("v1", "v2", "v3"))).distinct().count() == twice.count()
