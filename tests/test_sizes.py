@@ -112,3 +112,12 @@ def test_windings_of_many_objects_at_once(spark):
         assert [(r.v1, r.v2, r.v3, r.flipped) for r in got if r.object_id == o] == walked([(r.v1, r.v2, r.v3) for r in rows if r.object_id == o])
     twice = structure.unique_faces(t.drop("path"))
     assert "Join" not in plan(twice) and twice.select("object_id", F.array_sort(F.array("v1", "v2", "v3"))).distinct().count() == twice.count()
+
+
+def test_holes_of_many_objects_at_once(spark):
+    square = [(0, 1, 2), (0, 2, 3)]
+    rows = [(o, k + 5 * o, *f) for o in range(3) for k, f in enumerate(square[: o + 1 if o < 2 else 0] or [(7, 7, 8)])]
+    made = repair.fill_holes(spark.createDataFrame(rows, "object_id long, tid long, v1 long, v2 long, v3 long"))
+    assert "FlatMapGroupsInPandas" not in plan(made)
+    assert sorted((r.object_id, r.tid, r.v1, r.v2, r.v3) for r in made.where("added").collect()) == [(0, 1, 0, 2, 1), (1, 7, 0, 3, 2), (1, 8, 0, 2, 1)]
+    assert made.where("not added").count() == len(rows)
