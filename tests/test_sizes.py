@@ -121,3 +121,13 @@ def test_holes_of_many_objects_at_once(spark):
     assert "FlatMapGroupsInPandas" not in plan(made)
     assert sorted((r.object_id, r.tid, r.v1, r.v2, r.v3) for r in made.where("added").collect()) == [(0, 1, 0, 2, 1), (1, 7, 0, 3, 2), (1, 8, 0, 2, 1)]
     assert made.where("not added").count() == len(rows)
+
+
+def test_findings_need_one_pass_over_small_meshes(spark, monkeypatch):
+    t, v = wild(spark)
+    shared = v.where("object_id = 5").drop("path", "object_id")
+    made = geometry.findings(t.drop("path"), shared)
+    assert plan(made).count("Aggregate(key") == 0 and "HashAggregate" not in plan(made)
+    got = sorted(map(str, made.collect()))
+    monkeypatch.setattr(graphs, "SMALL", 10)
+    assert got == sorted(map(str, geometry.findings(t.drop("path"), shared).collect()))
