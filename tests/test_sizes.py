@@ -4,11 +4,11 @@ import io
 import random
 import zipfile
 
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from facetframe.operators import crossing, geometry, graphs, repair, rules, structure
-from facetframe.sources import sinks
+from facetframe.sources import files, sinks
 
 
 def plan(df):
@@ -131,3 +131,14 @@ def test_findings_need_one_pass_over_small_meshes(spark, monkeypatch):
     got = sorted(map(str, made.collect()))
     monkeypatch.setattr(graphs, "SMALL", 10)
     assert got == sorted(map(str, geometry.findings(t.drop("path"), shared).collect()))
+
+
+def test_many_files_are_a_few_frames(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(files, "_frame", lambda rows, f=files._frame: made.append(len(rows)) or f(rows))
+    df = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    parse = {}
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: parse.setdefault("f", f))
+    files.parse_files(df)
+    rows = pd.concat(parse["f"](iter([pd.DataFrame({"path": [f"f{i}" for i in range(30)], "content": [b"?"] * 30})])))
+    assert made == [30] and list(rows["path"]) == [f"f{i}" for i in range(30)]
