@@ -13,6 +13,15 @@ from pyspark.sql import DataFrame
 
 #: Rows that a batch has at least, unless there are no more.
 ROWS = 50_000
+#: Rows that a task has about, at most, where a table is dealt by object.
+TASK_ROWS = 1_000_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows in as many partitions by keys as n rows need, so that a task's memory does not grow with the table. Few rows are left as they are: Spark deals those well."""
+    spark = rows.sparkSession
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else rows
 
 
 def whole(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:

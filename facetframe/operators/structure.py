@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.vectors import matmul
+from .batches import dealt
 from .graphs import by_size, checkpointed, components
 
 MAX_DEPTH = 16
@@ -193,9 +194,17 @@ def sound_faces(triangles: DataFrame) -> DataFrame:
 
 
 def used_vertices(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Vertices in use with a dense new index in the old order."""
-    used = triangles.select("object_id", F.explode(F.array("v1", "v2", "v3")).alias("vid")).distinct()
-    return vertices.join(used, ["object_id", "vid"]).withColumn("new_vid", F.row_number().over(Window.partitionBy("object_id").orderBy("vid")) - 1)
+    """Vertices in use with a dense new index in the old order.
+
+    Vertices and triangles are dealt by object in one shuffle and meet in one sort, so a task keeps no table of ids. The triangles are counted for that.
+    """
+    own = [c for c in vertices.columns if c not in ("object_id", "vid")]
+    none = F.lit(None)
+    named = vertices.select("object_id", F.col("vid").alias("v1"), none.alias("v2"), none.alias("v3"), F.lit(True).alias("_own"), *own)
+    rows = named.unionByName(triangles.select("object_id", "v1", "v2", "v3", F.lit(False).alias("_own")), allowMissingColumns=True)
+    each = dealt(rows, triangles.count(), "object_id").select("object_id", F.explode(F.array_distinct(F.array("v1", "v2", "v3"))).alias("vid"), "_own", *own).where("object_id is not null and vid is not null")
+    met = each.withColumn("_all", F.min("_own").over(Window.partitionBy("object_id", "vid"))).where("_own and not _all")
+    return met.select("object_id", F.col("vid").cast(vertices.schema["vid"].dataType).alias("vid"), *own, (F.row_number().over(Window.partitionBy("object_id").orderBy("vid")) - 1).alias("new_vid"))
 
 
 def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import geometry as G
 from ..operators import repair as R
 from ..operators import rules
 from ..operators import structure as S
+from ..operators.batches import dealt
 
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -160,7 +161,7 @@ def clean_faces(spark, sf_dir):
 @query("WITH u AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT s AS object_id, p AS vid, row_number() OVER (PARTITION BY s ORDER BY p) - 1 AS new_vid FROM u")
 def dense_vertices(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("object_id"), F.col("l_partkey").alias("v"))
-    return S.used_vertices(line.select("object_id", F.col("v").alias("vid")).distinct(), line.select("object_id", F.col("v").alias("v1"), F.col("v").alias("v2"), F.col("v").alias("v3"))).select("object_id", "vid", F.col("new_vid").cast("long").alias("new_vid"))
+    return S.used_vertices(dealt(line, line.count(), "object_id").select("object_id", F.col("v").alias("vid")).distinct(), line.select("object_id", F.col("v").alias("v1"), F.col("v").alias("v2"), F.col("v").alias("v3"))).select("object_id", "vid", F.col("new_vid").cast("long").alias("new_vid"))
 
 
 @query("WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT o_custkey, a.n AS left_value, b.n AS right_value, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (o_custkey) WHERE a.n IS DISTINCT FROM b.n")

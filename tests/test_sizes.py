@@ -7,7 +7,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from facetframe.operators import crossing, geometry, graphs, repair, rules, structure
+from facetframe.operators import batches, crossing, geometry, graphs, repair, rules, structure
 from facetframe.sources import files, sinks
 
 
@@ -123,6 +123,22 @@ def test_holes_of_many_objects_at_once(spark):
     assert made.where("not added").count() == len(rows)
 
 
+def test_used_vertices_are_dealt_by_their_number(spark, monkeypatch):
+    t, v = wild(spark)
+    t, v = t.drop("path"), v.drop("path").unionByName(v.drop("path").withColumn("vid", F.col("vid") + 100))  # half of them in no triangle
+    by_hand = {}
+    for r in t.collect():
+        by_hand.setdefault(r.object_id, set()).update((r.v1, r.v2, r.v3))
+    at = {(r.object_id, r.vid): (r.x, r.y, r.z) for r in v.collect()}
+    want = sorted((o, i, k, *at[o, i]) for o, ids in by_hand.items() for k, i in enumerate(sorted(ids)))
+    for most in (5, 1_000_000):
+        monkeypatch.setattr(batches, "TASK_ROWS", most, raising=False)
+        made = structure.used_vertices(v, t)
+        assert sorted((r.object_id, r.vid, r.new_vid, r.x, r.y, r.z) for r in made.collect()) == want
+        assert "Join" not in plan(made) and "HashAggregate" not in plan(made)
+        assert (f", {-(-t.count() // most)}), REPARTITION_BY_NUM" in plan(made)) == (most == 5)
+
+
 def test_findings_need_one_pass_over_small_meshes(spark, monkeypatch):
     t, v = wild(spark)
     shared = v.where("object_id = 5").drop("path", "object_id")
