@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Rows that a batch has at least, unless there are no more.
 ROWS = 50_000
@@ -44,7 +45,14 @@ def whole(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], work:
             pdf = pd.concat(held, ignore_index=True)
             yield from _plain(work(pdf, codes(pdf, keys)))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return together(rows, keys, order).mapInPandas(run, schema)
+
+
+def together(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows of an object in one task, sorted. A window asks for the same as a shuffle and a sort, but rows that already lie by their only key stay where they are. Rows that lie by some of several keys would come in few tasks, so those are shuffled."""
+    if len(keys) > 1:
+        return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at > 0").drop("_at")
 
 
 def _plain(made: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -25,8 +25,11 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tid = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*LINE_ORDER)) - 1
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("object_id"), tid.cast("long").alias("tid"), (F.col("l_partkey") % 50).alias("v1"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 50).alias("v2"), (F.col("l_orderkey") % 50).alias("v3"))
+    """Dealt by object once, by the name object_id, so that steps that go by object need no shuffle of their own."""
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("object_id"), *LINE_ORDER)
+    tid = F.row_number().over(Window.partitionBy("object_id").orderBy(*LINE_ORDER)) - 1
+    numbered = dealt(line, line.count(), "object_id").select("object_id", "l_orderkey", "l_linenumber", "l_partkey", tid.cast("long").alias("tid"))
+    return numbered.select("object_id", "tid", (F.col("l_partkey") % 50).alias("v1"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 50).alias("v2"), (F.col("l_orderkey") % 50).alias("v3"))
 
 
 def untied(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,21 @@ def test_holes_of_many_objects_at_once(spark):
     assert made.where("not added").count() == len(rows)
 
 
+def test_faces_dealt_by_object_are_shuffled_once(spark):
+    t, _ = wild(spark)
+    t = t.drop("path")
+    made = repair.fill_holes(structure.unique_faces(structure.sound_faces(t.repartition(3, "object_id"))))
+    physical = made._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange ") == 1 and "array_sort" not in physical
+    seen, want = set(), []
+    for r in t.orderBy("object_id", "tid").collect():
+        face = (r.object_id, *sorted((r.v1, r.v2, r.v3)))
+        if len(set(face[1:])) == 3 and face not in seen:
+            seen.add(face)
+            want.append((r.object_id, r.tid, r.v1, r.v2, r.v3))
+    assert want == sorted((r.object_id, r.tid, r.v1, r.v2, r.v3) for r in made.where("not added").collect())
+
+
 def test_used_vertices_are_dealt_by_their_number(spark, monkeypatch):
     t, v = wild(spark)
     t, v = t.drop("path"), v.drop("path").unionByName(v.drop("path").withColumn("vid", F.col("vid") + 100))  # half of them in no triangle
