@@ -19,9 +19,13 @@ TASK_ROWS = 1_000_000
 
 
 def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """rows in as many partitions by keys as n rows need, so that a task's memory does not grow with the table. Few rows are left as they are: Spark deals those well."""
+    """rows in as many partitions by keys as n rows need, so that a task's memory does not grow with the table. Few rows are left as they are: Spark deals those well.
+
+    Beyond spark.shuffle.sort.bypassMergeThreshold partitions Spark sorts what a task writes, in memory; up to twice TASK_ROWS are taken to stay below that.
+    """
     spark = rows.sparkSession
-    tasks = -(-n // TASK_ROWS)
+    unsorted = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    tasks = max(min(-(-n // TASK_ROWS), unsorted), -(-n // (2 * TASK_ROWS)))
     return rows.repartition(tasks, *keys) if tasks > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else rows
 
 

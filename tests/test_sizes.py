@@ -154,6 +154,11 @@ def test_used_vertices_are_dealt_by_their_number(spark, monkeypatch):
         assert (f", {-(-t.count() // most)}), REPARTITION_BY_NUM" in plan(made)) == (most == 5)
 
 
+def test_tables_are_dealt_without_sorted_writes(spark):
+    tasks = lambda n: batches.dealt(spark.range(5), n, "id").rdd.getNumPartitions()
+    assert [tasks(n * batches.TASK_ROWS) for n in (20, 200, 216, 400, 401, 500)] == [20, 200, 200, 200, 201, 250]
+
+
 def test_findings_need_one_pass_over_small_meshes(spark, monkeypatch):
     t, v = wild(spark)
     shared = v.where("object_id = 5").drop("path", "object_id")
