@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,13 +13,25 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir, which all executors share. Only a session without executors of their own (tests) may go without."""
+    _folder(df)
+    return df.checkpoint(eager=True)
+
+
+def _folder(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if at is None and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """df by way of Parquet in that folder: what reads it again takes the columns and, by their statistics, the row groups that it needs."""
+    at = f"{_folder(df)}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def signed_components(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,15 +17,18 @@ from .graphs import checkpointed, reachable
 KINDS = ("basematerials", "colorgroup", "texture2dgroup", "compositematerials", "multiproperties")
 
 
-def geometry_stats(items: DataFrame, components: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """items: path, seq, object_id, transform; components: path, object_id, child_object_id, transform; meshes with path.
+def geometry_stats(items: DataFrame, components: DataFrame, triangles: DataFrame, vertices: DataFrame, meshes: DataFrame | None = None) -> DataFrame:
+    """items: path, seq, object_id, transform; components: path, object_id, child_object_id, transform; triangles and vertices with path, or meshes: path, object_id, xyz, corners (whole objects, a row each).
 
     Per package: instances (items), objects, triangles and vertices in all placed copies, area and volume of them. Each
     mesh is measured once; placing it only multiplies.
     """
     key = lambda df, c, name: df.withColumn(name, F.struct("path", F.col(c).alias("id")))
-    leaves, _ = S.resolve(key(items, "object_id", "object_id").withColumn("instance_id", F.struct("path", "seq")).select("instance_id", "object_id", "transform"), key(key(components, "object_id", "_o"), "child_object_id", "_c").select(F.col("_o").alias("object_id"), F.col("_c").alias("child_object_id"), "transform"))
-    measured = key(G.own_measures(triangles, vertices), "object_id", "object_id").drop("path")
+    leaves = key(items, "object_id", "object_id").withColumn("instance_id", F.struct("path", "seq")).select("instance_id", "object_id", "transform")
+    if not components.isEmpty():
+        leaves, _ = S.resolve(leaves, key(key(components, "object_id", "_o"), "child_object_id", "_c").select(F.col("_o").alias("object_id"), F.col("_c").alias("child_object_id"), "transform"))
+    own = G.own_measures(triangles, vertices)
+    measured = key(own if meshes is None else own.unionByName(G.mesh_measures(meshes)), "object_id", "object_id").drop("path")
     placed = G.placed_measures(leaves, measured)
     per = placed.groupBy(F.col("instance_id.path").alias("path")).agg(F.count(F.lit(1)).alias("objects"), F.sum("triangle_count").alias("triangles"), F.sum("vertex_count").alias("vertices"), F.sum("area").alias("area"), F.sum("volume").alias("volume"))
     return items.groupBy("path").agg(F.count(F.lit(1)).alias("instances")).join(per, "path", "left").fillna(0, ["objects", "triangles", "vertices", "area", "volume"])

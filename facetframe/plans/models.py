@@ -9,7 +9,7 @@ from ..functions.vectors import UNIT_METRES
 from ..operators import crossing as X
 from ..operators import packages as P
 from ..operators import rules
-from ..operators.graphs import checkpointed
+from ..operators.graphs import checkpointed, landed
 from ..sources import files, sinks, vendor
 from .bindings import LINE_ORDER, TRI, VERT, query, read, triangles, vertices
 
@@ -277,8 +277,8 @@ def package_statistics(spark, sf_dir):
 m AS (SELECT path, count(*) AS n, sum({_AREA}) AS area FROM corner GROUP BY 1) SELECT 'p' || path AS path, u.n::BIGINT AS instances, u.n::BIGINT AS objects, m.n::BIGINT AS triangles, (8 * u.n)::BIGINT AS vertices, round(area, 2) AS area FROM u JOIN m USING (path)""")
 def packages_read_back(spark, sf_dir):
     """Orders' meshes are written as packages, one for each path, read again as files are, and measured."""
-    t = _lines(spark, sf_dir)
-    objects = t.select("path", "object_id").distinct()
+    t = landed(_lines(spark, sf_dir))
+    objects = t.where("tid = 0").select("path", "object_id")
     v = objects.select("path", "object_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("vid"))
     none = F.lit(None)
     content = sinks.packages(
@@ -287,7 +287,7 @@ def packages_read_back(spark, sf_dir):
         objects.where("false").select("path", "object_id", F.lit(0).alias("seq"), F.col("object_id").alias("child_object_id"), none.cast("string").alias("transform")),
         objects.select("path", F.col("object_id").alias("seq"), F.col("object_id").alias("item_object_id"), none.cast("string").alias("transform")),
     )
-    rows = checkpointed(files.parse_files(content))
+    rows = landed(files.parse_meshes(content))
     return P.geometry_stats(*files.geometry(rows)).select("path", "instances", "objects", "triangles", "vertices", F.round("area", 2).alias("area"))
 
 

@@ -2,12 +2,14 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from facetframe.operators import batches, crossing, geometry, graphs, repair, rules, structure
+from facetframe.operators import batches, crossing, geometry, graphs, packages, repair, rules, structure
 from facetframe.sources import files, sinks
 
 
@@ -178,3 +180,83 @@ def test_many_files_are_a_few_frames(spark, monkeypatch):
     files.parse_files(df)
     rows = pd.concat(parse["f"](iter([pd.DataFrame({"path": [f"f{i}" for i in range(30)], "content": [b"?"] * 30})])))
     assert made == [30] and list(rows["path"]) == [f"f{i}" for i in range(30)]
+
+
+def test_one_package_is_written_in_stretches(spark, monkeypatch):
+    v, t = solids(spark)
+    objects = v.select("path", "object_id").distinct().withColumns({"type": F.lit("model"), "name": F.lit(None).cast("string"), "pid": F.lit(None).cast("long"), "pindex": F.lit(None).cast("long")})
+    # object 9 has triangles alone, 700 a component alone
+    t = t.unionByName(t.where("object_id = 1").withColumn("object_id", F.lit(9).cast("long")))
+    parts = objects.where("object_id = 4").select("path", F.explode(F.array(F.lit(4).cast("long"), F.lit(700).cast("long"))).alias("object_id"), F.lit(0).alias("seq"), F.lit(1).cast("long").alias("child_object_id"), F.lit(None).cast("string").alias("transform"))
+    items = objects.select("path", (5 - F.col("object_id")).alias("seq"), F.col("object_id").alias("item_object_id"), F.lit(None).cast("string").alias("transform"))
+    texts = []
+    for stretch, known in ((100_000, 1000), (20, 1000), (20, 0)):
+        monkeypatch.setattr(sinks, "STRETCH", stretch)
+        monkeypatch.setattr(sinks, "KNOWN", known)
+        assert (sinks._stretches(objects, t).parts > 1) == (stretch == 20)
+        z = zipfile.ZipFile(io.BytesIO(sinks.packages(objects, v, t, parts, items).collect()[0].content))
+        assert z.testzip() is None
+        texts.append(z.read("3D/3dmodel.model").decode())
+    assert texts[0] == texts[1] == texts[2]
+    assert [texts[0].count(x) for x in ("<object", "</object>", "<vertex ", "<triangle ", "<component ", "<item ")] == [7, 7, 40, 121, 2, 5]
+    assert re.findall(r'<item objectid="(\d)"', texts[0]) == list("43210")
+
+
+def test_stretches_in_pieces_are_one_archive(monkeypatch):
+    rows = [("p", 0, 1, 0, '<object id="1">')] + [("p", 0, 1, 1, f'<vertex x="{random.Random(k).random()}"/>') for k in range(9000)] + [("p", 1, 2, 2, "<triangle/>")] + [("q", 0, 5, 3, "<component/>")]
+    contents = []
+    for piece, size in ((1, 50), (1 << 20, 1000)):
+        monkeypatch.setattr(sinks, "PIECE", piece)
+        frames = [pd.DataFrame(rows[i : i + size], columns=["path", "cut", "owner", "part", "value"]).astype({"cut": "int32", "part": "int32"}) for i in range(0, len(rows), size)]
+        made = pd.concat([b.to_pandas() for b in sinks._strung(iter([pa.RecordBatch.from_pandas(f) for f in frames]))])
+        assert (len(made) > 3) == (piece == 1)
+        zips = [zipfile.ZipFile(io.BytesIO(c)) for f in sinks._joined("inch", iter([made])) for c in f["content"]]
+        assert [z.testzip() for z in zips] == [None, None]
+        contents.append([z.read("3D/3dmodel.model").decode() for z in zips])
+    assert contents[0] == contents[1] and contents[0][0].count("<vertex ") == 9000
+    assert contents[0][0].endswith("</vertices></mesh></object><object><mesh><triangles><triangle/></triangles></mesh></object></resources><build></build></model>")
+    assert contents[0][1].endswith("<resources><object><components><component/></components></object></resources><build></build></model>")
+
+
+def plain_object(k, x="0.5", more="", end=""):
+    return f'<object id="{k}"{more}><mesh><vertices><vertex x="{x}" y="-1" z="1E2"/><vertex x="1" y="0" z="0"/>{end}</vertices><triangles><triangle v1="0" v2="1" v3="1"/></triangles></mesh></object>'
+
+
+def test_plain_objects_are_read_as_any_other(spark, monkeypatch):
+    objects = "".join(plain_object(k) for k in range(1, 40))
+    resources = [
+        objects, plain_object(1) + " \n" + plain_object(2, more=' type="support"') + plain_object(3, more=' name="x"') + plain_object(4), plain_object(1, more=' type="odd"'), plain_object(1) + plain_object(1) + plain_object(2),
+        f"<!-- {plain_object(1)} -->{plain_object(2)}", f"<![CDATA[{plain_object(1)}]]>{plain_object(2)}", f"<?x {plain_object(1)} ?>{plain_object(2)}", f'<a b=">{plain_object(1)}"/>{plain_object(2)}', f"<a>{plain_object(1)}</a>{plain_object(2)}",
+        plain_object(1, end="<vertex/>") + plain_object(2), plain_object(1, "1-2") + plain_object(2), plain_object(1, "1E60") + plain_object(2, "1E-60"), plain_object(1) + "<object/>" + plain_object(2), plain_object(1) + "<b>" + plain_object(2), plain_object(1) + plain_object(2)[:60], '<basematerials id="1"/>' + plain_object(1),
+    ]
+    builds = ['<item objectid="1"/><item objectid="2"/> <item objectid="2" printable="0"/><item objectid="1"/>', '<!--<item objectid="1"/>--><item objectid="x"/><item objectid="2"/>']
+    texts = [f'<?xml version="1.0"?><model xmlns="c"><metadata name="a">b</metadata><resources>{r}</resources><build>{b}</build></model>' for r in resources for b in builds]
+    texts += [t.replace("<model xmlns", "<model xml:space='x' xmlns") for t in texts[:1]] + [texts[0].replace("<build>", "<resources>" + plain_object(77) + "</resources><build>"), texts[0][:-30], texts[0] + plain_object(5)]
+
+    def read(text, plain):
+        out = []
+        try:
+            for r in files.model_rows(io.BytesIO(text.encode()), plain):
+                out += files._elements(r) if r[0] == "mesh" else [("item", None, r[2], {"objectid": str(r[1])})] if r[0] == "placed" else [r]
+        except Exception as e:  # noqa: BLE001
+            out.append((type(e), None if plain and isinstance(e, SyntaxError) else str(e) if isinstance(e, ValueError) else None))
+        return out
+
+    for window in (7, 64, 500, 1 << 20):
+        monkeypatch.setattr(files, "WINDOW", window)
+        for text in texts:
+            assert read(text, True) == read(text, False), text
+    assert sum(r[0] == "mesh" for r in files.model_rows(io.BytesIO(texts[0].encode()), True)) == 39
+
+    def package(text):
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w") as z:
+            for name, x in (("_rels/.rels", sinks.RELS), ("3D/3dmodel.model", text), ("3D/b.model", texts[2])):
+                z.writestr(name, x)
+        return bytearray(content.getvalue())
+
+    df = spark.createDataFrame([(f"f{i}", package(x)) for i, x in enumerate(texts)] + [("s", bytearray(b"?"))], "path string, content binary").repartition(4)
+    a, b = files.parse_files(df).cache(), graphs.landed(files.parse_meshes(df))
+    assert sorted(map(str, files.tables(a)["errors"].collect())) == sorted(map(str, files.tables(b)["errors"].collect()))
+    show = lambda rows: sorted(str([f"{x:.9g}" if isinstance(x, float) else x for x in r]) for r in packages.geometry_stats(*files.geometry(rows)).collect())
+    assert show(a) == show(b) and b.where("kind = 'mesh'").count() > 200
