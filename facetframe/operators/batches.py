@@ -53,9 +53,13 @@ def whole(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], work:
 
 
 def together(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """rows of an object in one task, sorted. A window asks for the same as a shuffle and a sort, but rows that already lie by their only key stay where they are. Rows that lie by some of several keys would come in few tasks, so those are shuffled."""
+    """rows of an object in one task, sorted. A window asks for the same as a shuffle and a sort, but rows that already lie by their only key stay where they are. Rows that lie by some of several keys would come in few tasks, so those are shuffled.
+
+    A shuffle by just these keys is left out by Spark where rows, or all parts of a union, seem to lie by them already; as no operator then
+    asks for it, they may be read in another way in the end, so a constant is among the keys.
+    """
     if len(keys) > 1:
-        return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return rows.repartition(*keys, F.lit(0)).sortWithinPartitions(*keys, *order)
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at > 0").drop("_at")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.vectors import matmul
-from .batches import dealt
+from .batches import dealt, together
 from .graphs import by_size, checkpointed, components
 
 MAX_DEPTH = 16
@@ -56,7 +56,7 @@ def islands(triangles: DataFrame) -> DataFrame:
     there, and labels move along links, so an object may be of any size.
     """
     small, large = by_size(triangles.select("object_id", F.col("tid").cast("long").alias("tid"), *[F.col(v).cast("long").alias(v) for v in ("v1", "v2", "v3")]))
-    made = small.repartition("object_id").sortWithinPartitions("object_id", "tid").mapInPandas(_labelled_batches, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
+    made = together(small, ("object_id",), ("tid",)).mapInPandas(_labelled_batches, f"object_id {triangles.schema['object_id'].dataType.simpleString()}, tid long, island long")
     return made if large is None else made.unionByName(_linked(large))
 
 

@@ -260,3 +260,12 @@ def test_plain_objects_are_read_as_any_other(spark, monkeypatch):
     assert sorted(map(str, files.tables(a)["errors"].collect())) == sorted(map(str, files.tables(b)["errors"].collect()))
     show = lambda rows: sorted(str([f"{x:.9g}" if isinstance(x, float) else x for x in r]) for r in packages.geometry_stats(*files.geometry(rows)).collect())
     assert show(a) == show(b) and b.where("kind = 'mesh'").count() > 200
+
+
+def test_rows_of_an_object_meet_whatever_they_lie_by(spark):
+    t, v = wild(spark)
+    few = t.where("object_id > 3").select("path", "object_id").distinct()
+    lie = lambda df: df.join(few, ["path", "object_id"], "left_anti").select("path", "object_id")
+    rows = lie(t).unionByName(lie(v)).unionByName(lie(t.distinct()))
+    made = batches.whole(rows, ("path", "object_id"), (), lambda pdf, code: pdf.drop_duplicates(), "path string, object_id long")
+    assert sorted(r.object_id for r in made.collect()) == [0, 1, 2, 3] and "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
