@@ -27,10 +27,16 @@ def _folder(df: DataFrame) -> str:
     return sc.getCheckpointDir()
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """df by way of Parquet in that folder: what reads it again takes the columns and, by their statistics, the row groups that it needs."""
-    at = f"{_folder(df)}/landed-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+def landed(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """df by way of Parquet in that folder: what reads it again takes the columns and, by their statistics, the row groups that it needs. batch: bytes, about, that Python is given at a time meanwhile."""
+    at, name, conf = f"{_folder(df)}/landed-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    before = conf.get(name)
+    if batch is not None:
+        conf.set(name, str(batch))
+    try:
+        df.write.parquet(at)
+    finally:
+        conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

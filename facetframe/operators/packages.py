@@ -11,6 +11,7 @@ from ..functions.vectors import triangle_area
 from . import geometry as G
 from . import repair as R
 from . import structure as S
+from .batches import dealt
 from .graphs import checkpointed, reachable
 
 #: Resource kinds in the order in which counts name them.
@@ -29,7 +30,8 @@ def geometry_stats(items: DataFrame, components: DataFrame, triangles: DataFrame
         leaves, _ = S.resolve(leaves, key(key(components, "object_id", "_o"), "child_object_id", "_c").select(F.col("_o").alias("object_id"), F.col("_c").alias("child_object_id"), "transform"))
     own = G.own_measures(triangles, vertices)
     measured = key(own if meshes is None else own.unionByName(G.mesh_measures(meshes)), "object_id", "object_id").drop("path")
-    placed = G.placed_measures(leaves, measured)
+    n = items.count()
+    placed = G.placed_measures(dealt(leaves, n, "object_id"), dealt(measured, n, "object_id"))
     per = placed.groupBy(F.col("instance_id.path").alias("path")).agg(F.count(F.lit(1)).alias("objects"), F.sum("triangle_count").alias("triangles"), F.sum("vertex_count").alias("vertices"), F.sum("area").alias("area"), F.sum("volume").alias("volume"))
     return items.groupBy("path").agg(F.count(F.lit(1)).alias("instances")).join(per, "path", "left").fillna(0, ["objects", "triangles", "vertices", "area", "volume"])
 

@@ -9,6 +9,7 @@ from ..functions.vectors import UNIT_METRES
 from ..operators import crossing as X
 from ..operators import packages as P
 from ..operators import rules
+from ..operators.batches import dealt
 from ..operators.graphs import checkpointed, landed
 from ..sources import files, sinks, vendor
 from .bindings import LINE_ORDER, TRI, VERT, query, read, triangles, vertices
@@ -17,10 +18,11 @@ LINE = f"line AS MATERIALIZED (SELECT l_orderkey % 25 AS path, l_orderkey AS obj
 TYPES = ("model", "solidsupport", "support", "surface", "other")
 
 
-def _lines(spark, sf_dir):
-    """path, object_id, tid, v1, v2, v3: small meshes on 8 vertices."""
+def _lines(spark, sf_dir, deal=False):
+    """path, object_id, tid, v1, v2, v3: small meshes on 8 vertices. deal: in partitions of bounded size."""
     tid = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER[1:], "l_suppkey")) - 1
-    return read(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_orderkey") % 25).alias("path"), F.col("l_orderkey").cast("long").alias("object_id"), tid.cast("long").alias("tid"), (F.col("l_partkey") % 8).cast("long").alias("v1"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 8).cast("long").alias("v2"), (F.col("l_suppkey") % 8).cast("long").alias("v3"))
+    line = read(spark, sf_dir, "lineitem")
+    return (dealt(line, line.count(), "l_orderkey") if deal else line).select(F.concat(F.lit("p"), F.col("l_orderkey") % 25).alias("path"), F.col("l_orderkey").cast("long").alias("object_id"), tid.cast("long").alias("tid"), (F.col("l_partkey") % 8).cast("long").alias("v1"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 8).cast("long").alias("v2"), (F.col("l_suppkey") % 8).cast("long").alias("v3"))
 
 
 def _places(vid):
@@ -277,7 +279,7 @@ def package_statistics(spark, sf_dir):
 m AS (SELECT path, count(*) AS n, sum({_AREA}) AS area FROM corner GROUP BY 1) SELECT 'p' || path AS path, u.n::BIGINT AS instances, u.n::BIGINT AS objects, m.n::BIGINT AS triangles, (8 * u.n)::BIGINT AS vertices, round(area, 2) AS area FROM u JOIN m USING (path)""")
 def packages_read_back(spark, sf_dir):
     """Orders' meshes are written as packages, one for each path, read again as files are, and measured."""
-    t = landed(_lines(spark, sf_dir))
+    t = landed(_lines(spark, sf_dir, deal=True))
     objects = t.where("tid = 0").select("path", "object_id")
     v = objects.select("path", "object_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("vid"))
     none = F.lit(None)

@@ -9,7 +9,6 @@ import zipfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import cache, partial
 from typing import NamedTuple
 from xml.sax.saxutils import quoteattr
@@ -17,7 +16,7 @@ from xml.sax.saxutils import quoteattr
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -146,24 +145,11 @@ def packages(objects: DataFrame, vertices: DataFrame, triangles: DataFrame, comp
     together = dealt(rows, plan.rows, "path", "cut")
     together = (together if together is not rows else rows.repartition("path", "cut")).sortWithinPartitions(*order)
     pieces = together.select("path", "cut", "owner", "part", "value").mapInArrow(_strung, "path string, cut int, piece int, first int, last int, first_owner long, last_owner long, crc long, size long, data binary")
-    with _unweighed(rows.sparkSession):
-        pieces = landed(pieces)
+    pieces = landed(pieces, batch=2**31 - 1)  # bounded by their rows alone: Spark would weigh a batch at every row, which takes longer than writing a short one
     # partitions by number, so that few large archives are not put into one task
     return pieces.repartition(plan.tasks, "path").sortWithinPartitions("path", "cut", "piece").mapInPandas(partial(_joined, unit), "path string, content binary")
 
 
-@contextmanager
-def _unweighed(spark: SparkSession) -> Iterator[None]:
-    """Batches for Python are bounded by rows alone: Spark weighs a batch at every row, which takes longer than writing a short one."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(2**31 - 1))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 class _Plan(NamedTuple):
     """The least id of objects and the largest one, the ids in a stretch, the stretches of objects in a package, about how many rows there are in all, partitions to deal packages to, and a modulus by which all packages' hashes differ (0: not looked for)."""
 
